@@ -4,10 +4,8 @@ Parents shrink to one validity interval per key, ``[valid_from, deleted_at)``,
 with map-side combining.  References and intervals are placed by key, sorted by
 (key, interval before references, time) and merged in one linear pass.
 
-A key with more than 1/HOT_PARTS of all references is hot; there are fewer than
-HOT_PARTS of those whatever the data is, so their list may be broadcast.  Hot
-references are salted over SALTS tasks and the interval of a hot key goes to
-each of them.
+Hot references are salted (see ``spread``) and the interval of a hot key goes to
+each of its salts.
 """
 
 from __future__ import annotations
@@ -20,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_PARTS = 400
-SALTS = 64
+from tidemark.operators.spread import hot_keys, replicated, salted
+
 MISSING, LATE, DELETED = "missing", "late", "deleted"
 _NONE = np.iinfo(np.int64).min
 
@@ -74,17 +72,8 @@ def orphan_references(references: DataFrame, key: Column, us: Column, intervals:
     as they occur.  ``intervals`` is what ``validity_intervals`` gives.
     """
     read = references.select(key.alias("key"), us.alias("us")).where(F.col("key").isNotNull() & F.col("us").isNotNull())
-    whole = read.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = read.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_PARTS > whole).select("key", F.lit(True).alias("hot"))
-    hot = F.broadcast(hot)
-    salted = read.join(hot, "key", "left").select(
-        "key",
-        F.when(F.col("hot"), F.pmod(F.xxhash64("us"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"),
-        "us",
-        F.lit(None).cast("long").alias("valid_from"),
-        F.lit(None).cast("long").alias("deleted_at"),
-    )
-    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    known = intervals.join(hot, "key", "left").select("key", F.explode(spread).alias("salt"), F.lit(None).cast("long").alias("us"), "valid_from", "deleted_at")
-    merged = known.unionByName(salted).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("us").asc_nulls_first())
+    hot = hot_keys(read, "key")
+    spread = salted(read, hot, "key", ["us"]).select("key", "salt", "us", F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("deleted_at"))
+    known = replicated(intervals, hot, "key").select("key", "salt", F.lit(None).cast("long").alias("us"), "valid_from", "deleted_at")
+    merged = known.unionByName(spread).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("us").asc_nulls_first())
     return merged.mapInArrow(_merge, "key string, us long, verdict string")
