@@ -52,7 +52,7 @@ class Catalog:
         key = fields[0].name
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{table.keyspace}`")
         self.spark.sql(
-            f"CREATE TABLE `{table.keyspace}`.`{table.name}` ({columns}) USING parquet OPTIONS (compression 'lz4_raw') "
+            f"CREATE TABLE `{table.keyspace}`.`{table.name}` ({columns}) USING parquet OPTIONS (compression 'zstd') "
             f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {self.buckets} BUCKETS "
             f"TBLPROPERTIES ('{DECLARED}' = '{",".join(str(f.type) for f in fields)}', '{MEMORY}' = '{str(memory).lower()}', '{BUCKETS}' = '{self.buckets}')"
         )

@@ -80,7 +80,8 @@ def partition(kind: FieldType, value: Column, n: int) -> Column:
             digits = F.replace(value, F.lit("-"), F.lit(""))
             words = [F.conv(F.substring(digits, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
             mixed = words[0].bitwiseXOR(words[1]).bitwiseXOR(words[2]).bitwiseXOR(words[3])
-            number = F.least(F.abs(_signed_int(mixed)), F.lit(2**31 - 1))
+            size = F.abs(_signed_int(mixed))
+            number = F.when(size == 2**31, 2**31 - 1).otherwise(size)
         case "INT":
             number = F.abs(value.cast("long"))
         case "LONG" | "IPV4":
