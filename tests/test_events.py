@@ -1,0 +1,187 @@
+"""Operators over event records against brute force, on tables with everything dirty in them."""
+
+from collections import Counter, defaultdict
+from datetime import date, datetime, timedelta, timezone
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.cases import EVENT_SCHEMA, dirty_events, records, user
+from tidemark.functions import reading
+from tidemark.operators import features, rolling, sessions, skew
+from tidemark.operators.orphans import orphan_references, validity_intervals
+
+GAP = 1_800_000
+SEEDS = (1, 2)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, EVENT_SCHEMA).repartition(3)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), max_size=30), st.integers(1, 9))
+def test_closing_is_the_gap_rule(events, gap):
+    cells = sorted(set(events))
+    entity, at = (np.array([c[i] for c in cells], np.int64) for i in (0, 1))
+    where, first, last, weight = sessions.close_runs(entity, at, at, np.ones(len(cells), np.int64), gap)
+    expected = []
+    for e, t in cells:
+        if expected and expected[-1][0] == e and t - expected[-1][2] <= gap:
+            expected[-1][2:] = [t, expected[-1][3] + 1]
+        else:
+            expected.append([e, t, t, 1])
+    assert [list(r) for r in zip(entity[where].tolist(), first.tolist(), last.tolist(), weight.tolist())] == expected
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+@pytest.mark.parametrize("batch", ["10000", "7"])  # small batches: runs are carried over their edges
+def test_sessions(spark, seed, batch):
+    rows = dirty_events(seed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {tuple(r) for r in sessions.sessionize(frame(spark, rows), GAP).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    times = defaultdict(list)
+    for uid, us, *_ in records(rows):
+        if us is not None:
+            times[uid].append(us // 1000)
+    expected = set()
+    for uid, ms in times.items():
+        ms.sort()
+        cuts = [0, *(i for i in range(1, len(ms)) if ms[i] - ms[i - 1] > GAP), len(ms)]
+        expected |= {(uid, ms[a], ms[b - 1], ms[b - 1] - ms[a], b - a) for a, b in zip(cuts, cuts[1:])}
+    assert found == expected
+
+
+def test_a_gap_of_exactly_the_limit_joins(spark):
+    start = datetime(2014, 10, 1, 0, 59, 59, 999000, tzinfo=timezone.utc)
+    times = [start, start + timedelta(milliseconds=GAP), start + timedelta(milliseconds=2 * GAP + 1)]
+    rows = [(user(1), t, "x", "u", *[None] * 7) for t in times]
+    assert sorted(r["n_records"] for r in sessions.sessionize(frame(spark, rows), GAP).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        sessions.sessionize(frame(spark, rows), 0)
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], EVENT_SCHEMA)
+    assert sessions.sessionize(empty).collect() == []
+    assert rolling.rolling_totals(empty, date(2014, 10, 1), date(2014, 10, 2)).collect() == []
+    assert features.feature_table(empty).collect() == []
+    assert skew.per_key_totals(empty, F.col("url"), F.col("us")).collect() == []
+    assert skew.heavy_keys(empty, F.col("url"), F.col("us"), 0.1).collect() == []
+    nothing = validity_intervals(empty, F.col("url"), F.col("us"))
+    assert orphan_references(empty, F.col("url"), F.col("us"), nothing).collect() == []
+
+
+@settings(max_examples=60)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=70), st.lists(st.integers(1, 80), min_size=1, max_size=4))
+def test_doubling_gives_any_window(days, windows):
+    daily = np.array([days, days[::-1]], np.int64)
+    for window, sums in zip(windows, rolling.trailing_sums(daily, windows)):
+        for row, total in zip(daily, sums):
+            assert total.tolist() == [row[max(0, d - window + 1) : d + 1].sum() for d in range(len(row))]
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+def test_rolling(spark, seed, monkeypatch):
+    rows, first, last = dirty_events(seed, days=9), date(2014, 10, 2), date(2014, 10, 8)
+    found = {(r["user_uid"], r["day_utc"]): r for r in rolling.rolling_totals(frame(spark, rows), first, last, (2, 5)).collect()}
+    counts = Counter((uid, us // 86_400_000_000) for uid, us, *_ in records(rows) if us is not None)
+    users = {r[0] for r in records(rows)}
+    assert len(found) == len(users) * 7
+    base = (first - date(1970, 1, 1)).days
+    for uid in users:
+        for d in range(base, base + 7):
+            row = found[uid, str(date(1970, 1, 1) + timedelta(days=d))]
+            total = lambda w: sum(counts[uid, x] for x in range(max(base, d - w + 1), d + 1))  # noqa: B023, E731
+            assert (row["n_records"], row["total_2d"], row["total_5d"]) == (counts[uid, d], total(2), total(5))
+            assert row["average_2d"] == total(2) / 2 and row["average_5d"] == total(5) / 5
+    for bad in ({"windows": ()}, {"windows": (0,)}):
+        with pytest.raises(ValueError):
+            rolling.rolling_totals(frame(spark, rows), first, last, **bad)
+    with pytest.raises(ValueError):
+        rolling.rolling_totals(frame(spark, rows), last, first)
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+@pytest.mark.parametrize("batch", ["10000", "5"])
+def test_features(spark, seed, batch):
+    rows = dirty_events(seed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        wide = features.feature_table(frame(spark, rows))
+        found = {r["user_uid"]: r for r in wide.collect()}
+        columns = {r["user_uid"]: r for r in features.feature_columns(wide, ["buy", "never"], 10**13).collect()}
+        pairs = features.feature_pairs(wide).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total, timed, last, everything = Counter(), Counter(), {}, Counter()
+    for uid, us, kind, _ in records(rows):
+        everything[uid] += 1
+        if kind is None:
+            continue
+        total[uid, kind] += 1
+        if us is not None:
+            timed[uid, kind] += 1
+            last[uid, kind] = max(last.get((uid, kind), 0), us // 1000)
+    assert {u: r["n_records"] for u, r in found.items()} == everything
+    for uid, row in found.items():
+        kinds = sorted(k for u, k in total if u == uid)
+        assert row["types"] == kinds
+        assert row["counts"] == [timed[uid, k] for k in kinds] and row["totals"] == [total[uid, k] for k in kinds]
+        assert row["last_ms"] == [last.get((uid, k)) for k in kinds]
+        assert columns[uid]["count__buy"] == timed[uid, "buy"] and columns[uid]["total__never"] == 0 and columns[uid]["recency_ms__never"] is None
+        assert columns[uid]["recency_ms__buy"] == (10**13 - last[uid, "buy"] if (uid, "buy") in last else None)
+    assert pairs == len(total)
+
+
+@pytest.mark.parametrize("at_once", [400_000, 50])
+def test_per_key_totals(spark, at_once, monkeypatch):
+    rows = dirty_events(3) + [("u", None, "t", " \r", *[None] * 7), ("u", None, "t", "\r a.com  ", *[None] * 7)]
+    monkeypatch.setattr(skew, "ROWS_AT_ONCE", at_once)
+    data = frame(spark, rows)
+    key, ms = reading.text_key(F.col("url")), reading.to_ms(reading.instant_us(F.col("timestamp")))
+    found = {r["key"]: tuple(r)[1:] for r in skew.per_key_totals(data, key, ms).collect()}
+    expected = defaultdict(list)
+    for _, when, _, url, *_ in rows:
+        ms_of = None if when is None or when.timestamp() == 0 else round(when.timestamp() * 1000)
+        expected[(url or "").strip(" \r") or None].append(ms_of)
+    for name, times in expected.items():
+        dated = [t for t in times if t is not None]
+        assert found.pop(name) == (len(times), len(dated), min(dated, default=None), max(dated, default=None))
+    assert not found
+    heavy = {r["key"] for r in skew.heavy_keys(data, key, ms, 0.15).collect()}
+    assert heavy == {k for k, v in expected.items() if k and len(v) >= 0.15 * len(rows)} and heavy
+
+
+PARENTS = [("a", 100, False), ("a", 50, None), ("b", 10, False), ("b", 40, True), ("b", 60, True), ("c", None, False), (None, 5, False), ("hot", 500, False)]
+REFERENCES = [("a", 49), ("a", 50), ("a", 51), ("b", 9), ("b", 39), ("b", 40), ("b", 41), ("c", 7), ("d", 7), ("d", 7), (None, 7), ("a", None), *(("hot", t) for t in range(400, 600))]
+
+
+@pytest.mark.parametrize("batch", ["10000", "3"])
+@pytest.mark.parametrize("hot_parts", [400, 1])
+def test_orphans(spark, batch, hot_parts, monkeypatch):
+    from tidemark.operators import spread
+
+    monkeypatch.setattr(spread, "HOT_PARTS", hot_parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        parents = spark.createDataFrame(PARENTS, "key string, us long, gone boolean")
+        references = spark.createDataFrame([(*r, "x", "y") for r in REFERENCES], "key string, us long, salt string, valid_from string")
+        intervals = validity_intervals(parents, F.col("key"), F.col("us"), F.col("gone"))
+        found = Counter(tuple(r) for r in orphan_references(references, F.col("key"), F.col("us"), intervals).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = Counter({("a", 49, "late"): 1, ("b", 9, "late"): 1, ("b", 40, "deleted"): 1, ("b", 41, "deleted"): 1, ("c", 7, "missing"): 1, ("d", 7, "missing"): 2})
+    expected.update({("hot", t, "late"): 1 for t in range(400, 500)})
+    assert found == expected
+
+
+def test_readers(spark):
+    rows = spark.createDataFrame([(" \r x ", datetime(1970, 1, 1, tzinfo=timezone.utc)), ("", None), ("A", datetime(2014, 10, 31, 23, 59, 59, 999999, tzinfo=timezone.utc)), (None, datetime(1969, 12, 31, 23, 0, tzinfo=timezone.utc))], "s string, t timestamp")
+    us = reading.instant_us(F.col("t"))
+    assert [tuple(r) for r in rows.select(reading.text_key(F.col("s")), reading.day_text(us), reading.to_ms(us)).collect()] == [("x", None, None), (None, None, None), ("A", "2014-10-31", 1414799999999), (None, "1969-12-31", -3600000)]

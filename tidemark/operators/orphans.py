@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.spread import hot_keys, replicated, salted
+from tidemark.operators.spread import SALT, hot_keys, replicated, salted
 
 MISSING, LATE, DELETED = "missing", "late", "deleted"
 _NONE = np.iinfo(np.int64).min
@@ -73,7 +73,7 @@ def orphan_references(references: DataFrame, key: Column, us: Column, intervals:
     """
     read = references.select(key.alias("key"), us.alias("us")).where(F.col("key").isNotNull() & F.col("us").isNotNull())
     hot = hot_keys(read, "key")
-    spread = salted(read, hot, "key", ["us"]).select("key", "salt", "us", F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("deleted_at"))
-    known = replicated(intervals, hot, "key").select("key", "salt", F.lit(None).cast("long").alias("us"), "valid_from", "deleted_at")
-    merged = known.unionByName(spread).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("us").asc_nulls_first())
+    spread = salted(read, hot, "key", ["us"]).select("key", SALT, "us", F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("deleted_at"))
+    known = replicated(intervals, hot, "key").select("key", SALT, F.lit(None).cast("long").alias("us"), "valid_from", "deleted_at")
+    merged = known.unionByName(spread).repartition("key", SALT).sortWithinPartitions("key", SALT, F.col("us").asc_nulls_first())
     return merged.mapInArrow(_merge, "key string, us long, verdict string")

@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 HOT_PARTS = 400
 #: Tasks over which the rows of a hot key are spread.
 SALTS = 64
+HOT, SALT = "__hot", "__salt"
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """``<key>, hot``: the keys with more than 1/HOT_PARTS of the rows, fewer than HOT_PARTS rows."""
+    """``<key>, __hot``: the keys with more than 1/HOT_PARTS of the rows, fewer than HOT_PARTS rows."""
     whole = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col(key).isNotNull() & (F.col("n") * HOT_PARTS > whole)).select(key, F.lit(True).alias("hot"))
+    return counted.where(F.col(key).isNotNull() & (F.col("n") * HOT_PARTS > whole)).select(key, F.lit(True).alias(HOT))
 
 
 def salted(rows: DataFrame, hot: DataFrame, key: str, by) -> DataFrame:
-    """``rows`` with ``salt``: spread by the hash of ``by`` for hot keys, 0 for others."""
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    """``rows`` with ``__salt``: spread by the hash of ``by`` for hot keys, 0 for others."""
+    return rows.join(F.broadcast(hot), key, "left").withColumn(SALT, F.when(F.col(HOT), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop(HOT)
 
 
 def replicated(unique: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """``unique`` with ``salt``: the row of a hot key once for every salt, others once."""
-    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return unique.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(spread)).drop("hot")
+    """``unique`` with ``__salt``: the row of a hot key once for every salt, others once."""
+    spread = F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return unique.join(F.broadcast(hot), key, "left").withColumn(SALT, F.explode(spread)).drop(HOT)
 
 
 def _size(frame: DataFrame) -> int:
@@ -47,4 +48,4 @@ def match_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner
     hot = hot_keys(rows.select(key), key)
     others = [c for c in rows.columns if c != key]
     left = salted(rows, hot, key, others or [key])
-    return left.join(replicated(unique, hot, key), [key, "salt"], how).drop("salt")
+    return left.join(replicated(unique, hot, key), [key, SALT], how).drop(SALT)
