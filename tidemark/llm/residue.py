@@ -108,19 +108,19 @@ def _is_filler(message: str) -> bool:
     return bool(_LATIN.search(message)) and not _ENGLISH.search(message)
 
 
-def judge(message: str, hunks: bool) -> str | None:
-    """What kind of residue a unit plainly is, or null."""
+def judge(message: str, bare: bool) -> str | None:
+    """What kind of residue a unit plainly is, or null; ``bare`` if hunks are missing where a commit would have them."""
     if not message:
         return None
     if _is_form(message):
         return FORM
-    if not hunks and not _MERGE.match(message):
+    if bare:
         if _SCRIPT.search(message):
             return SCRIPT
         if _ERROR.search(message):
             return ERROR
     if _HTML.match(message):
-        return None if hunks else ERROR
+        return ERROR if bare else None
     if _is_hole(message):
         return PLACEHOLDER
     return FILLER if _is_filler(message) else None
@@ -158,10 +158,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             message, hunks = message_of(text)
             subject, _, below = message.partition("\n\n")
-            settled = False
+            settled, bare = False, not hunks and not _MERGE.match(message)
             for unit in dict.fromkeys((below.strip(), subject, message)):
                 # the smallest residue unit is labelled, so that an ordinary part beside it stays ordinary
-                kind = None if settled else judge(unit, hunks)
+                kind = None if settled else judge(unit, bare)
                 settled = settled or kind is not None
                 words = masked_words(unit)
                 flat = " ".join(words) if words else unit and " ".join(unit.split())
