@@ -146,7 +146,7 @@ def simhash(words: list[str]) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
-UNITS = "doc_id long, node string, words string, hash long, kind string"
+UNITS = "doc_id long, node string, hunks boolean, words string, hash long, kind string"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +172,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hashed.clear()
                     hashed[flat] = simhash(words or [flat])
                 node = hashlib.blake2b(f"{hunks:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                rows.append((doc_id, node, flat, hashed[flat], kind))
+                rows.append((doc_id, node, hunks, flat, hashed[flat], kind))
         if rows:
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "words", "hash", "kind"])
+            types = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "kind"])
 
 
-def _table_keys(hash: Column) -> Column:
-    """The keys of a SimHash in every table: (table number, the blocks it keeps)."""
+def _table_keys(hash: Column, hunks: Column) -> Column:
+    """The keys of a SimHash in every table: (table number, with hunks or without, the blocks it keeps)."""
     keep = len(BLOCK_BITS) - MAX_DISTANCE
     starts = np.cumsum((0, *BLOCK_BITS))
     tables = []
@@ -188,7 +188,7 @@ def _table_keys(hash: Column) -> Column:
         for b in blocks:
             mask |= ((1 << BLOCK_BITS[b]) - 1) << int(starts[b])
         signed = mask - (1 << 64) if mask >> 63 else mask
-        tables.append(F.struct(F.lit(number).alias("number"), hash.bitwiseAND(F.lit(signed)).alias("bits")))
+        tables.append(F.struct(F.lit(number).alias("number"), hunks.alias("hunks"), hash.bitwiseAND(F.lit(signed)).alias("bits")))
     return F.array(*tables)
 
 
@@ -209,12 +209,13 @@ def _similarities(left: Column, right: Column) -> Column:
 def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
     """``node, kind``: plain nodes with a verified near-duplicate among the labelled ones; one label each.
 
-    Both have node, words, hash; labelled also kind.  Pairs meet in a table only
-    if they agree in all but MAX_DISTANCE blocks; they are checked for Hamming
+    Both have node, hunks, words, hash; labelled also kind.  Pairs meet in a
+    table only if they agree in all but MAX_DISTANCE blocks and both are followed
+    by hunks or neither is, as an error text above hunks is quoted; they are checked for Hamming
     distance in the join itself and for shingle similarity after, once per pair.
     """
-    left = plain.select("node", "words", "hash", F.explode(_table_keys(F.col("hash"))).alias("key"))
-    right = labelled.select(F.col("words").alias("other_words"), F.col("hash").alias("other_hash"), "kind", F.explode(_table_keys(F.col("hash"))).alias("key"))
+    left = plain.select("node", "words", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    right = labelled.select(F.col("words").alias("other_words"), F.col("hash").alias("other_hash"), "kind", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
     close = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash"))) <= MAX_DISTANCE
     pairs = left.join(right, "key").where(close).drop("key").distinct()
     return pairs.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).groupBy("node").agg(F.min("kind").alias("kind"))
@@ -245,7 +246,7 @@ def residue(documents: DataFrame) -> DataFrame:
     table gives no rows.
     """
     units = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS), "units")
-    nodes = units.groupBy("node").agg(F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("kind").alias("kind"))
+    nodes = units.groupBy("node").agg(F.min("hunks").alias("hunks"), F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("kind").alias("kind"))
     nodes = written(nodes, "nodes")
     wide = _vocabulary_filler(nodes)
     frontier = written(nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(wide, "node")), "ring")
