@@ -1,4 +1,7 @@
 import gzip
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -88,6 +91,21 @@ def test_compaction_keeps_rows(stored):
     assert after < before and stored.sql("count ks.many").count == 18
 
 
+def test_load_order_is_kept(spark, stored):
+    stored.catalog.create(TableRef("ks", "asloaded"), "k(INT),v(INT)", ordered=False)
+    stored.catalog.append(TableRef("ks", "asloaded"), spark.createDataFrame([(6, 1), (3, 2), (6, 0)], "k int, v int").coalesce(1))
+    assert "sort type: none" in stored.sql("describe ks.asloaded").info
+    assert [r["v"] for r in spark.table("ks.asloaded").where("k = 6").collect()] == [1, 0]
+
+
+def test_tables_outlive_the_session(tmp_path):
+    (tmp_path / "in").write_text("a\t1\nb\tx\nc\t3\n")
+    run_cli = lambda *words: subprocess.run([sys.executable, "-m", "tidemark", "--cores", "2", "--warehouse", str(tmp_path / "w"), *words], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert run_cli("query", "create table p.t k(STRING),n(INT)").returncode == 0
+    assert "2 records loaded, 1 rejected" in run_cli("load", "p.t", "--file", str(tmp_path / "in")).stdout
+    assert run_cli("query", "select n,k from p.t where n > 1").stdout == "3\tc\n"
+
+
 def test_rejects_trims_and_gzip(stored, tmp_path):
     stored.sql("create table ks.csv a(STRING),b(INT)")
     with gzip.open(tmp_path / "x.gz", "wt", newline="") as out:

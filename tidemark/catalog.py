@@ -15,7 +15,7 @@ from tidemark.functions.codecs import Field, of_name, parse_schema, schema_text
 from tidemark.operators.frame import KeyedFrame
 from tidemark.plans.ast import TableRef
 
-DECLARED, MEMORY, BUCKETS = "tidemark.types", "tidemark.memory", "tidemark.buckets"
+DECLARED, MEMORY, BUCKETS, ORDERED = "tidemark.types", "tidemark.memory", "tidemark.buckets", "tidemark.ordered"
 STATS_SCHEMA = "table string, region int, segments long, compressed long"
 
 
@@ -44,7 +44,8 @@ class Catalog:
     def _stored(self, table: TableRef) -> bool:
         return self.spark.catalog.databaseExists(table.keyspace) and self.spark.catalog.tableExists(f"{table.keyspace}.{table.name}")
 
-    def create(self, table: TableRef, schema: str, memory: bool = False) -> None:
+    def create(self, table: TableRef, schema: str, memory: bool = False, ordered: bool = True) -> None:
+        """A new table; not ``ordered``, rows keep their load order within a bucket's files."""
         if self.exists(table):
             raise QueryError(f"Table already exists: {table}")
         fields = parse_schema(schema)
@@ -53,8 +54,8 @@ class Catalog:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{table.keyspace}`")
         self.spark.sql(
             f"CREATE TABLE `{table.keyspace}`.`{table.name}` ({columns}) USING parquet OPTIONS (compression 'zstd') "
-            f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {self.buckets} BUCKETS "
-            f"TBLPROPERTIES ('{DECLARED}' = '{",".join(str(f.type) for f in fields)}', '{MEMORY}' = '{str(memory).lower()}', '{BUCKETS}' = '{self.buckets}')"
+            f"CLUSTERED BY (`{key}`) {f'SORTED BY (`{key}`)' if ordered else ''} INTO {self.buckets} BUCKETS "
+            f"TBLPROPERTIES ('{DECLARED}' = '{",".join(str(f.type) for f in fields)}', '{MEMORY}' = '{str(memory).lower()}', '{BUCKETS}' = '{self.buckets}', '{ORDERED}' = '{str(ordered).lower()}')"
         )
         if memory:
             self.spark.catalog.cacheTable(f"{table.keyspace}.{table.name}")
@@ -112,7 +113,7 @@ class Catalog:
         held = f"`{table.keyspace}`.`{table.name}__compacting`"
         n = self.buckets_of(table)
         rows = self.spark.table(full).hint("rebalance", n, F.col(f"`{key}`"))
-        rows.write.format("parquet").bucketBy(n, key).sortBy(key).mode("overwrite").saveAsTable(held)
+        rows.write.format("parquet").mode("overwrite").saveAsTable(held)
         self.spark.table(held).hint("rebalance", n, F.col(f"`{key}`")).write.insertInto(full, overwrite=True)
         self.spark.sql(f"DROP TABLE {held}")
         self.spark.catalog.refreshTable(full)
@@ -141,6 +142,6 @@ class Catalog:
         if not self._stored(table):
             return [*lines, "storage type: view"]
         properties = self.properties(table)
-        memory = properties.get(MEMORY) == "true"
-        return [*lines, "sort type: by key", f"storage type: {'parquet, cached' if memory else 'parquet'}", f"buckets: {properties.get(BUCKETS)}"]
+        memory, ordered = properties.get(MEMORY) == "true", properties.get(ORDERED) != "false"
+        return [*lines, f"sort type: {'by key' if ordered else 'none'}", f"storage type: {'parquet, cached' if memory else 'parquet'}", f"buckets: {properties.get(BUCKETS)}"]
 

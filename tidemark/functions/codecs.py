@@ -109,6 +109,10 @@ class FieldType:
         """A statement's literal, typed once by the column it is compared with."""
         return self.parse(F.lit(text)).cast(self.spark)
 
+    def escape(self, text: str) -> str:
+        """The text of a value as it stands in a statement."""
+        return f"'{text}'" if self.quoted else text
+
     def zero(self) -> Column:
         """What stands for nothing in storage, where there are no nulls."""
         match self.name:

@@ -127,9 +127,12 @@ class KeyedFrame:
         right_rows = match_unique(right.rows, self._keys(), KEY, "left_semi", placed)
         return replace(self, rows=left_rows, keys=None).union(replace(right, rows=right_rows, keys=None))
 
-    def output(self, ordered: bool = False) -> DataFrame:
-        """The visible columns; ``ordered`` by key and scan order."""
-        rows = self.rows.orderBy(self.key_type.sort_key(F.col(KEY)), ORDER) if ordered else self.rows
+    def output(self, ordered: bool = False, descending: bool = False) -> DataFrame:
+        """The visible columns; ``ordered`` by key and scan order, or ``descending``."""
+        order = [self.key_type.sort_key(F.col(KEY)), F.col(ORDER)]
+        if descending:
+            order = [o.desc() for o in order]
+        rows = self.rows.orderBy(*order) if ordered or descending else self.rows
         return rows.select(*(_quoted(n) for n in self.names))
 
     def counted(self) -> DataFrame:

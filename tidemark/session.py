@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -225,8 +226,19 @@ def _table(name: str) -> ast.TableRef:
 
 
 def local_session(cores: str = "*", warehouse: str | None = None, app: str = "tidemark") -> SparkSession:
-    """A local session with the settings that results rely on."""
+    """A local session with the settings that results rely on.
+
+    With a warehouse folder its tables outlive the session: the metastore lies
+    in that folder and is opened again by the next session.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if warehouse:
-        builder = builder.config("spark.sql.warehouse.dir", warehouse)
+        folder = os.path.abspath(warehouse)
+        os.makedirs(folder, exist_ok=True)
+        builder = (
+            builder.config("spark.sql.warehouse.dir", folder)
+            .config("spark.hadoop.javax.jdo.option.ConnectionURL", f"jdbc:derby:;databaseName={folder}/metastore;create=true")
+            .config("spark.driver.extraJavaOptions", f"-Dderby.stream.error.file={folder}/metastore.log")
+            .enableHiveSupport()
+        )
     return builder.getOrCreate()
