@@ -107,10 +107,10 @@ _US = "nullif(epoch_us(\"timestamp\"), 0)"
 _DAY = "strftime(make_timestamp(us), '%Y-%m-%d')"
 RECORDS = f"""SELECT DISTINCT {_user("user_uid")} AS uid, {_US} AS us, nullif(lower(trim(event_type)), '') AS kind, url
 FROM event_log WHERE {_user("user_uid")} IS NOT NULL"""
-_SESSIONS = f"""WITH r AS ({RECORDS}), t AS (SELECT uid, us // 1000 AS ms FROM r WHERE us IS NOT NULL),
+_SESSIONS = f"""WITH r AS ({RECORDS}), t AS (SELECT uid, us // 1000 AS ms, count(*) AS n FROM r WHERE us IS NOT NULL GROUP BY ALL),
 g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY uid ORDER BY ms) <= {GAP_MS} THEN 0 ELSE 1 END AS fresh FROM t),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY ms ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT uid AS user_uid, CAST(min(ms) AS BIGINT) AS start_ms, CAST(max(ms) AS BIGINT) AS end_ms, CAST(max(ms) - min(ms) AS BIGINT) AS duration_ms, count(*) AS n_records
+SELECT uid AS user_uid, CAST(min(ms) AS BIGINT) AS start_ms, CAST(max(ms) AS BIGINT) AS end_ms, CAST(max(ms) - min(ms) AS BIGINT) AS duration_ms, CAST(sum(n) AS BIGINT) AS n_records
 FROM s GROUP BY uid, session"""
 _ROLLING = f"""WITH r AS ({RECORDS}), c AS (SELECT uid, CAST(make_timestamp(us) AS DATE) AS day, count(*) AS n FROM r WHERE us IS NOT NULL GROUP BY ALL),
 days AS (SELECT CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day),

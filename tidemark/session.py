@@ -17,6 +17,7 @@ from tidemark.operators.frame import KeyedFrame
 from tidemark.plans import ast
 from tidemark.plans.lower import Options, lower_count, lower_frame
 from tidemark.plans.parser import parse
+from tidemark.shipping import ship
 from tidemark.sources.ingest import Loaded, read_stdin, read_table, read_text
 
 HELP = (
@@ -87,6 +88,7 @@ class Engine:
     """``sql`` runs statements over keyspaces of the session catalog and registered frames."""
 
     def __init__(self, spark: SparkSession, buckets: int = 8, options: Options = Options()) -> None:
+        ship(spark)
         self.spark, self.options = spark, options
         self.catalog = Catalog(spark, buckets)
 
