@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_PARTS of the rows is hot: fewer than HOT_PARTS keys are, whatever the data is.
@@ -34,6 +34,14 @@ def _size(frame: DataFrame) -> int:
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which the planner broadcasts a side; below 0 if never."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if threshold.startswith("-"):
+        return -1
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold))
+
+
 def match_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", co_placed: bool = False) -> DataFrame:
     """``rows`` joined to ``unique``, which has one row per key.
 
@@ -41,9 +49,7 @@ def match_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner
     threshold, or both sides are already placed by key in buckets (``co_placed``),
     a plain join is best.  Beyond that hot keys are salted.
     """
-    threshold = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = int(rows.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)) if threshold != "-1" else -1
-    if co_placed or _size(unique) <= limit:
+    if co_placed or _size(unique) <= _broadcast_limit(rows.sparkSession):
         return rows.join(unique, key, how)
     hot = hot_keys(rows.select(key), key)
     others = [c for c in rows.columns if c != key]
