@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Test items travel to the executors in blocks of at most this many characters.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 1_000_000
 
