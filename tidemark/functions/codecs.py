@@ -132,22 +132,28 @@ class FieldType:
                 value = F.lit(0)
         return value.cast(self.spark)
 
-    def sort_key(self, value: Column) -> Column:
-        """(length, text) pairs that order like the type: strings by length first, then bytes."""
-        match self.name:
-            case "STRING" | "PLAIN":
-                text = value.cast("string")
-                return F.when(value.isNotNull(), F.struct(F.octet_length(text).alias("length"), text.alias("text")))
-            case "BYTEARRAY":
-                text = F.hex(value)
-            case "UUID":
-                text = value
-            case "BOOL":
-                text = F.when(value, "1").otherwise("0")
-            case _:
-                number = F.unix_micros(value) if self.name == "TIME" else value.cast("long")
-                text = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-        return F.when(value.isNotNull(), F.struct(F.lit(0).alias("length"), text.alias("text")))
+    def sort_part(self, value: Column) -> Column:
+        """What the type orders by: strings by length first, then bytes; others as they are."""
+        if self.name == "STRING":
+            return F.when(value.isNotNull(), F.struct(F.octet_length(value).alias("length"), value.alias("text")))
+        if self.name == "PLAIN" and not isinstance(self.plain, T.AtomicType):
+            return F.to_json(F.struct(value))
+        return value
+
+    def encoded(self, part: Column) -> Column:
+        """A sort part as a (length, text) pair that orders the same, so that unlike columns can be mixed."""
+        if self.name == "STRING":
+            return part
+        if self.name in ("UUID", "PLAIN"):
+            text = part.cast("string")
+        elif self.name == "BYTEARRAY":
+            text = F.hex(part)
+        elif self.name == "BOOL":
+            text = F.when(part, "1").otherwise("0")
+        else:
+            number = F.unix_micros(part) if self.name == "TIME" else part.cast("long")
+            text = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+        return F.when(part.isNotNull(), F.struct(F.lit(0).alias("length"), text.alias("text")))
 
 
 def of_spark(kind: T.DataType) -> FieldType:

@@ -3,8 +3,9 @@
 Besides its visible fields a frame has two hidden columns.  ``__key`` is the
 first column of the table the rows come from, projected or not.  ``__order`` is
 the place of a row in scan order within its key: the sort keys of all columns of
-its table, preceded by the side it came from in a union.  Hidden columns are
-plain projections, so what no operator uses is pruned from the scan.
+its table, preceded by the side it came from in a union, where the keys of both
+sides are encoded alike.  Hidden columns are plain projections, so what no
+operator uses is pruned from the scan.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ class KeyedFrame:
     key_type: FieldType
     #: The visible field that equals the key, if one does.
     key_field: str | None
+    #: Types of the parts of ``__order``; none if they are encoded.
+    order_types: tuple[FieldType, ...] | None
     #: A frame of keys only with as many rows, where that is cheaper to count.
     keys: DataFrame | None = None
     #: Whether the rows come from a table bucketed by key.
@@ -44,9 +47,9 @@ class KeyedFrame:
         fields = tuple(fields) if fields else tuple(Field(f.name, of_spark(f.dataType)) for f in frame.schema.fields)
         if any(f.name.startswith("__") for f in fields):
             raise QueryError("Names that begin with two underscores are reserved")
-        order = F.array(*(f.type.sort_key(_quoted(f.name)) for f in fields))
+        order = F.struct(*(f.type.sort_part(_quoted(f.name)).alias(f"o{i}") for i, f in enumerate(fields)))
         rows = frame.select(*(_quoted(f.name) for f in fields), _quoted(fields[0].name).alias(KEY), order.alias(ORDER))
-        return cls(rows, fields, fields[0].type, fields[0].name, placed=placed)
+        return cls(rows, fields, fields[0].type, fields[0].name, tuple(f.type for f in fields), placed=placed)
 
     @property
     def names(self) -> list[str]:
@@ -100,7 +103,7 @@ class KeyedFrame:
             rows = matched
         left = {f.name: _quoted(KEY) if f.name == self.key_field else F.col("__left")[f.name] for f in self.fields}
         columns = [left.get(f.name, _quoted(f.name)).alias(f.name) for f in fields]
-        return KeyedFrame(rows.select(*columns, KEY, ORDER), fields, self.key_type, self.key_field, matched.select(KEY), placed)
+        return KeyedFrame(rows.select(*columns, KEY, ORDER), fields, self.key_type, self.key_field, right.order_types, matched.select(KEY), placed)
 
     def _united(self, right: "KeyedFrame") -> tuple[Field, ...]:
         known = {f.name: f for f in self.fields}
@@ -113,11 +116,15 @@ class KeyedFrame:
         """All rows of both, by column name; missing cells are null; left rows come first within a key."""
         self._check_key(right)
         fields = self._united(right)
-        side = lambda n: F.concat(F.array(F.struct(F.lit(0).alias("length"), F.lit(n).alias("text"))), F.col(ORDER))
-        rows = self.rows.withColumn(ORDER, side("0")).unionByName(right.rows.withColumn(ORDER, side("1")), allowMissingColumns=True)
+        rows = self.rows.withColumn(ORDER, self._sided("0")).unionByName(right.rows.withColumn(ORDER, right._sided("1")), allowMissingColumns=True)
         key_field = self.key_field if self.key_field == right.key_field else None
         keys = (self.keys if self.keys is not None else self.rows.select(KEY)).unionByName(right.keys if right.keys is not None else right.rows.select(KEY))
-        return KeyedFrame(rows.select(*(_quoted(f.name) for f in fields), KEY, ORDER), fields, self.key_type, key_field, keys)
+        return KeyedFrame(rows.select(*(_quoted(f.name) for f in fields), KEY, ORDER), fields, self.key_type, key_field, None, keys)
+
+    def _sided(self, side: str) -> Column:
+        """``__order`` encoded, behind the side of a union."""
+        parts = F.col(ORDER) if self.order_types is None else F.array(*(t.encoded(F.col(ORDER)[f"o{i}"]) for i, t in enumerate(self.order_types)))
+        return F.concat(F.array(F.struct(F.lit(0).alias("length"), F.lit(side).alias("text"))), parts)
 
     def intersection(self, right: "KeyedFrame") -> "KeyedFrame":
         """All rows, of both sides, whose key is on both sides."""
@@ -129,7 +136,7 @@ class KeyedFrame:
 
     def output(self, ordered: bool = False, descending: bool = False) -> DataFrame:
         """The visible columns; ``ordered`` by key and scan order, or ``descending``."""
-        order = [self.key_type.sort_key(F.col(KEY)), F.col(ORDER)]
+        order = [self.key_type.sort_part(F.col(KEY)), F.col(ORDER)]
         if descending:
             order = [o.desc() for o in order]
         rows = self.rows.orderBy(*order) if ordered or descending else self.rows
