@@ -61,11 +61,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end, 64-bit hash and text number of every word of concatenated lower-case UTF-8 texts."""
+    """Begin, end, 64-bit hash and text number of every word of concatenated lower-case UTF-8 texts.
+
+    Worked off in segments that end between words, so that a long text needs no
+    more memory than its words.
+    """
+    parts, begin = [], 0
+    while begin < len(data) or not parts:
+        end = begin + CHUNK_BYTES
+        while end < len(data) and _IS_WORD[data[end]]:
+            end += 1
+        inside = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, end, side="right")] - begin
+        first, last, hashed = _segment_words(data[begin:end], inside)
+        parts.append((first + begin, last + begin, hashed))
+        begin = end
+    first, last, hashed = (np.concatenate(p) for p in zip(*parts))
+    return first, last, hashed, np.searchsorted(offsets, first, side="right") - 1
+
+
+def _segment_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = len(data)
     word = _IS_WORD[data]
     edge = np.zeros(size + 1, bool)
-    edge[offsets] = True
+    edge[edges[edges <= size]] = True
     before = np.concatenate([[False], word])
     after = np.concatenate([word, [False]])
     begin = np.flatnonzero(after & (~before | edge))
@@ -73,7 +91,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     up, down = _POWERS.upto(size + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], dtype=np.uint64)])
     hashed = _mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return begin, end, hashed, np.searchsorted(offsets, begin, side="right") - 1
+    return begin, end, hashed
 
 
 def rolling(hashes: np.ndarray, length: int) -> np.ndarray:

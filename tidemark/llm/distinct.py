@@ -65,28 +65,22 @@ def _cube_kernel(n_groups: int):
             pattern = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             coded = [flat.field(i).dictionary_encode() for i in range(n_groups)]
             codes = [np.nan_to_num(c.indices.to_numpy(zero_copy_only=False), nan=-1).astype(np.int64) for c in coded]
-            sizes = [len(c.dictionary) for c in coded]
             for number, level in enumerate(levels):
-                known, cell, span = np.ones(len(flat), bool), np.zeros(len(flat), np.int64), 1
-                for used, code, size in zip(level, codes, sizes):
-                    if used:
-                        known &= code >= 0
-                        cell = cell * max(size, 1) + code
-                        span *= max(size, 1)
+                used = [i for i in range(n_groups) if level[i]]
+                known = np.flatnonzero(np.logical_and.reduce([codes[i] >= 0 for i in used])) if used else np.arange(len(flat))
+                cell = np.zeros(len(known), np.int64)
+                for i in used:  # numbered anew after each group, so that no number can overflow
+                    cell = np.unique(cell * (len(coded[i].dictionary) + 1) + codes[i][known], return_inverse=True)[1]
+                span = int(cell.max(initial=0)) + 1
                 # once per pattern and cell; then the totals of the patterns are added per cell
-                once = np.unique(pattern[known] * span + cell[known])
+                once = np.unique(pattern[known] * span + cell)
                 cells, where = np.unique(once % span, return_inverse=True)
                 total = np.zeros(len(cells), np.int64)
                 np.add.at(total, where, n[once // span])
-                columns, rest = [], cells
-                for i in reversed(range(n_groups)):
-                    if level[i]:
-                        columns.append(coded[i].dictionary.take(pa.array(rest % max(sizes[i], 1))).cast(pa.string()))
-                        rest = rest // max(sizes[i], 1)
-                    else:
-                        columns.append(pa.nulls(len(cells), pa.string()))
+                shown = known[np.unique(cell, return_index=True)[1]]
+                columns = [flat.field(i).take(pa.array(shown)).cast(pa.string()) if level[i] else pa.nulls(len(cells), pa.string()) for i in range(n_groups)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cells), number, np.int32)), *reversed(columns), pa.array(total)],
+                    [pa.array(np.full(len(cells), number, np.int32)), *columns, pa.array(total)],
                     names=["level", *(f"g{i}" for i in range(n_groups)), "n"],
                 )
 

@@ -65,8 +65,8 @@ _ERROR = re.compile(
     re.I,
 )
 _SCRIPT = re.compile(
-    r"<noscript|(?:javascript|\bjs\b|\bscripts?\b|script support|active content|client-side code)[^.\n]*\b(?:block|need|requir|turned off|allow|enabl|disabl|switched off|is off|loaded|without it|ein\b|active)"
-    r"|(?:enable|allow|activate|turn on|switch on|needs?|requires?|runs on|without|blocks)\b[^.\n]*\b(?:javascript|scripts?|active content|client-side code)|activez les scripts|schalten sie javascript|habilit\w+ (?:javascript|los scripts)|active (?:el )?javascript",
+    r"<noscript|(?:javascript|\bjs\b|\bscripts?\b|script support|active content|client-side code)[^.\n]{0,200}\b(?:block|need|requir|turned off|allow|enabl|disabl|switched off|is off|loaded|without it|ein\b|active)"
+    r"|(?:enable|allow|activate|turn on|switch on|needs?|requires?|runs on|without|blocks)\b[^.\n]{0,200}\b(?:javascript|scripts?|active content|client-side code)|activez les scripts|schalten sie javascript|habilit\w+ (?:javascript|los scripts)|active (?:el )?javascript",
     re.I,
 )
 
