@@ -51,3 +51,22 @@ def exchanges(frame):
 @pytest.mark.parametrize("name, most", [("p1_found", 2), ("p2_found", 2), ("p5_found", 2), ("filter_contains", 0), ("scan_project", 0)])
 def test_shuffles(spark, name, most):
     assert exchanges(QUERIES[name](spark, FOLDER)) <= most
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    """The driver may run elsewhere; the Python workers then know the package only because it is shipped."""
+    import os
+    import subprocess
+    import sys
+
+    repo = Path(__file__).parents[1]
+    program = (
+        f"import sys; sys.path.insert(0, {str(repo)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        f"print('ROWS', e.queries()['p1_found'](spark, {FOLDER!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]

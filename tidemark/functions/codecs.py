@@ -77,7 +77,7 @@ class FieldType:
                 number = sum((F.get(octets, F.lit(i)).try_cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0))
                 return F.when(text.rlike(r"^((25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(\.|$)){4}") & ~text.endswith("."), number)
             case "TIME":
-                dated = F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
+                dated = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.concat(text, F.lit("Z")).try_cast("timestamp"))
                 millis = F.when(text.rlike("^[0-9]{1,15}$"), F.timestamp_millis(text.try_cast("long")))
                 return F.when(F.substring(text, 5, 1) == "-", dated).otherwise(millis)
             case "BYTEARRAY":

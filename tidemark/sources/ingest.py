@@ -34,12 +34,12 @@ def trimmed(value: Column) -> Column:
 
 
 def typed(records: DataFrame, fields: list[Field]) -> Loaded:
-    """Parses ``values array<string>``; a record with too few or too many values is a reject.
+    """Trims and parses ``values array<string>``; a record with too few or too many values is a reject.
 
     Every value is parsed once; rows and rejects share that projection.
     """
     values = F.col("values")
-    cells = F.struct(*(f.type.parse(F.get(values, F.lit(i))).alias(f.name) for i, f in enumerate(fields)))
+    cells = F.struct(*(f.type.parse(trimmed(F.get(values, F.lit(i)))).alias(f.name) for i, f in enumerate(fields)))
     parsed = records.select(values, cells.alias("row"))
     wrong = F.when(F.size("values") != len(fields), F.lit("number of values"))
     for i, f in enumerate(fields):
@@ -51,8 +51,7 @@ def typed(records: DataFrame, fields: list[Field]) -> Loaded:
 
 def line_records(lines: DataFrame, separator: str) -> DataFrame:
     """``values`` of one record a line; a last empty line is none."""
-    parts = F.split("value", re.escape(separator), -1)
-    return lines.where(trimmed(F.col("value")) != "").select(F.transform(parts, trimmed).alias("values"))
+    return lines.where(trimmed(F.col("value")) != "").select(F.split("value", re.escape(separator), -1).alias("values"))
 
 
 def stream_records(files: DataFrame, separator: str, n: int) -> DataFrame:
@@ -62,7 +61,7 @@ def stream_records(files: DataFrame, separator: str, n: int) -> DataFrame:
     are numbered by prefix sums: within a block, then over the blocks of a file,
     so no file is read by one task unless it is one block.
     """
-    parts = F.transform(F.split("value", re.escape(separator), -1) if separator != "\n" else F.array("value"), trimmed)
+    parts = F.split("value", re.escape(separator), -1) if separator != "\n" else F.array("value")
     lines = files.select("file", "block", F.monotonically_increasing_id().alias("line"), parts.alias("parts")).withColumn("size", F.size("parts"))
     inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
