@@ -13,9 +13,12 @@ HOT, SALT = "__hot", "__salt"
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """``<key>, __hot``: the keys with more than 1/HOT_PARTS of the rows, fewer than HOT_PARTS rows."""
-    whole = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """``<key>, __hot``: the keys with more than 1/HOT_PARTS of the rows, fewer than HOT_PARTS rows.
+
+    The whole is the sum of the counts, so that rows are read once for both.
+    """
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.agg(F.sum("n").alias("n")).scalar()
     return counted.where(F.col(key).isNotNull() & (F.col("n") * HOT_PARTS > whole)).select(key, F.lit(True).alias(HOT))
 
 
