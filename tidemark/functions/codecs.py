@@ -54,6 +54,8 @@ class FieldType:
 
     def parse(self, text: Column) -> Column:
         """Value of a text; null if it is none.  Null and empty text are the zero value."""
+        if self.name == "STRING":
+            return F.coalesce(text, F.lit(""))
         empty = text.isNull() | (text == "")
         return F.when(empty, self.zero()).otherwise(self._parse(text))
 
@@ -83,8 +85,6 @@ class FieldType:
             case "BYTEARRAY":
                 raw = F.encode(text, "UTF-8")
                 return F.when(F.octet_length(raw) == self.size, raw)
-            case "STRING":
-                return text
         return text.try_cast(self.spark)
 
     def render(self, value: Column) -> Column:

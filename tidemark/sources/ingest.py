@@ -36,19 +36,25 @@ def trimmed(value: Column) -> Column:
 def typed(records: DataFrame, fields: list[Field]) -> Loaded:
     """Trims and parses ``values array<string>``; a record with too few or too many values is a reject.
 
-    Every value is parsed once; rows and rejects share that projection.
+    Lines are split once and values parsed once: each result leaves through a
+    one-row generator, past which the planner pushes no filter that would
+    compute it again.
     """
     values = F.col("values")
     cells = F.struct(*(f.type.parse(trimmed(F.get(values, F.lit(i)))).alias(f.name) for i, f in enumerate(fields)))
-    parsed = records.select(values, cells.alias("row"))
+    parsed = _once(_once(records, values, "values"), cells, "row", "values")
     wrong = F.when(F.size("values") != len(fields), F.lit("number of values"))
-    for i, f in enumerate(fields):
+    for f in fields:
         wrong = wrong.when(F.col("row")[f.name].isNull(), F.lit(f.name))
     checked = parsed.withColumn("fault", wrong)
     rows = checked.where(F.col("fault").isNull()).select(*(F.col("row")[f.name].alias(f.name) for f in fields))
     return Loaded(rows, checked.where(F.col("fault").isNotNull()).select("fault", "values"))
 
 
+def _once(rows: DataFrame, value: Column, name: str, *kept: str) -> DataFrame:
+    return rows.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def line_records(lines: DataFrame, separator: str) -> DataFrame:
     """``values`` of one record a line; a last empty line is none."""
     return lines.where(trimmed(F.col("value")) != "").select(F.split("value", re.escape(separator), -1).alias("values"))
