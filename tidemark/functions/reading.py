@@ -6,11 +6,14 @@ generation, and none depends on the session time zone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
-_CANONICAL = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: One pass over the text decides: hex groups of 8-4-4-4-12, any separators, not all zero.
+_USABLE = r"(?s)^(?!0{8}.0{4}.0{4}.0{4}.0{12}\z)[0-9a-fA-F]{8}.[0-9a-fA-F]{4}.[0-9a-fA-F]{4}.[0-9a-fA-F]{4}.[0-9a-fA-F]{12}\z"
 DAY_US = 86_400_000_000
 
 
@@ -22,18 +25,9 @@ def user_id(raw: Column) -> Column:
     nil UUID give null.
     """
     text = F.trim(raw)
-    canonical = F.lower(
-        F.concat_ws(
-            "-",
-            F.substring(text, 1, 8),
-            F.substring(text, 10, 4),
-            F.substring(text, 15, 4),
-            F.substring(text, 20, 4),
-            F.substring(text, 25, 12),
-        )
-    )
-    usable = (F.length(text) == 36) & canonical.rlike(_CANONICAL) & (canonical != NIL_UUID)
-    return F.when(usable, canonical)
+    hyphens = reduce(Column.__and__, (F.substring(text, at, 1) == "-" for at in (9, 14, 19, 24)))
+    groups = (F.substring(text, at, n) for at, n in ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12)))
+    return F.when(text.rlike(_USABLE), F.lower(F.when(hyphens, text).otherwise(F.concat_ws("-", *groups))))
 
 
 def text_key(raw: Column) -> Column:

@@ -32,7 +32,8 @@ def event_records(
     aggregation by (entity, cell, ...) needs no further shuffle.
     """
     read = events.select(
-        reading.user_id(F.col(user)).alias("entity"),
+        # a one-row generator: the filter below is not pushed past it, which would read each user twice
+        F.explode(F.array(reading.user_id(F.col(user)))).alias("entity"),
         reading.instant_us(F.col(time)).alias("us"),
         reading.event_type(F.col(kind)).alias("kind"),
         F.col(url).alias("url"),
