@@ -177,8 +177,8 @@ def test_spread_keeps_rows(spark, monkeypatch):
 
 
 def test_grouped_and_text(engine):
-    grouped = {r["key"]: [c["url"] for c in r["rows"]] for r in engine.frame("select url from v.pviews").grouped().collect()}
-    assert grouped["AT5656"] == ["www.auto.com", "www.marvel.com"] and grouped["AT1234"][0] == "www.tv.com"
+    grouped = {r["key"]: (r["n"], r["url"]) for r in engine.frame("select url from v.pviews").grouped(F.max("url").alias("url")).collect()}
+    assert grouped == {"AT5656": (2, "www.marvel.com"), "AT1234": (4, "www.tv.com")}
     assert [r for r in engine.sql("select a,b from v.tiny").records()] == [["Hello", "101"], ["World", "99"]]
     assert [r["a"] for r in engine.frame("select a from v.tiny").output(descending=True).collect()] == ["World", "Hello"]
     assert [f.type.escape("x") for f in parse_schema("a,b(INT),c(UUID)")] == ["'x'", "x", "'x'"]

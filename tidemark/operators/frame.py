@@ -146,14 +146,13 @@ class KeyedFrame:
         """One row, ``count``; reads keys only where rows are not needed."""
         return (self.keys if self.keys is not None else self.rows).agg(F.count(F.lit(1)).alias("count"))
 
-    def grouped(self) -> DataFrame:
-        """Rows clustered by key: ``key`` and an array of rows in scan order.
+    def grouped(self, *aggregates: Column) -> DataFrame:
+        """One row per key: ``key``, ``n`` rows, and any aggregates over the visible fields, combined map-side.
 
-        For keys whose rows fit a task; a key is one row of the result.
+        The rows of a key themselves, next to each other and in scan order, are
+        ``output(ordered=True)``, which splits a hot key over tasks.
         """
-        row = F.struct(ORDER, F.struct(*(_quoted(n) for n in self.names)).alias("row"))
-        sorted_rows = F.sort_array(F.collect_list(row))
-        return self.rows.groupBy(F.col(KEY).alias("key")).agg(F.transform(sorted_rows, lambda r: r["row"]).alias("rows"))
+        return self.rows.groupBy(F.col(KEY).alias("key")).agg(F.count(F.lit(1)).alias("n"), *aggregates)
 
     def as_text(self, separator: str = "\t", ordered: bool = False) -> DataFrame:
         """One column, ``line``: the rendered fields; a missing cell is a NUL character."""
