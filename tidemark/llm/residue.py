@@ -211,13 +211,25 @@ def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
 
     Both have node, hunks, words, hash; labelled also kind.  Pairs meet in a
     table only if they agree in all but MAX_DISTANCE blocks and both are followed
-    by hunks or neither is, as an error text above hunks is quoted; they are checked for Hamming
-    distance in the join itself and for shingle similarity after, once per pair.
+    by hunks or neither is, as an error text above hunks is quoted; they are
+    checked for Hamming distance in the join itself and for shingle similarity
+    after, once per pair.
+
+    A plain node meets one labelled node of each of its buckets first.  In a
+    bucket of near-duplicates that settles nearly all of them, with one pair
+    each; only those still plain then meet all labelled nodes of their buckets.
     """
     left = plain.select("node", "words", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
     right = labelled.select(F.col("words").alias("other_words"), F.col("hash").alias("other_hash"), "kind", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    one = right.groupBy("key").agg(F.min(F.struct("other_hash", "other_words", "kind")).alias("one")).select("key", "one.*")
+    settled = written(_verified(left.join(one, "key")), "settled")
+    rest = left.join(settled.select("node"), "node", "left_anti")
+    return settled.unionByName(_verified(rest.join(right, "key")))
+
+
+def _verified(met: DataFrame) -> DataFrame:
     close = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash"))) <= MAX_DISTANCE
-    pairs = left.join(right, "key").where(close).drop("key").distinct()
+    pairs = met.where(close).drop("key").distinct()
     return pairs.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).groupBy("node").agg(F.min("kind").alias("kind"))
 
 
