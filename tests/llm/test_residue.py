@@ -87,8 +87,10 @@ def nodes(spark, rows):
     return spark.createDataFrame(rows, "node string, words string, hash long, kind string").withColumn("hunks", F.lit(False))
 
 
-def test_tables_lose_no_pair(spark):
+@pytest.mark.parametrize("first_wave", [64, 1])
+def test_tables_lose_no_pair(spark, first_wave, monkeypatch):
     """All pairs within the distance and the similarity are linked, by comparison with all pairs."""
+    monkeypatch.setattr(r, "FIRST_WAVE", first_wave)
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 12)]
     rows = []
@@ -97,7 +99,7 @@ def test_tables_lose_no_pair(spark):
             for bit in rng.choice(64, int(rng.integers(0, 6)), replace=False):
                 h ^= 1 << int(bit)
             signed = (h + 2**63) % 2**64 - 2**63
-            rows.append((f"{i}-{j}", "a b c d e f g h i j k" if j % 2 else "a b c d e f g h i j z", signed, "error page" if j == 0 else None))
+            rows.append((f"{i}-{j}", "a b c d e f g h i j k" if j % 2 else "a b c d e f g h i j z", signed, "error page" if j in (0, 3) else None))
     data = nodes(spark, rows)
     found = {x["node"] for x in r.near_labelled(data.where(F.col("kind").isNull()).drop("kind"), data.where(F.col("kind").isNotNull())).collect()}
     close = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3

@@ -35,6 +35,9 @@ MAX_DISTANCE = 3
 #: hashes within MAX_DISTANCE bits agree in at least one table.
 BLOCK_BITS = (13, 13, 13, 13, 12)
 
+#: Labelled nodes of a bucket that plain nodes meet before the others.
+FIRST_WAVE = 64
+
 PLACEHOLDER, FORM, FILLER, ERROR, SCRIPT = "placeholder", "form", "filler", "error page", "script notice"
 
 # The layouts that text is recognised by.
@@ -146,7 +149,7 @@ def simhash(words: list[str]) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
-UNITS = "doc_id long, node string, hunks boolean, words string, hash long, kind string"
+UNITS = "doc_id long, node binary, hunks boolean, words string, hash long, kind string"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +174,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(hashed) > 50_000:
                         hashed.clear()
                     hashed[flat] = simhash(words or [flat])
-                node = hashlib.blake2b(f"{hunks:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                node = hashlib.blake2b(f"{hunks:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 rows.append((doc_id, node, hunks, flat, hashed[flat], kind))
         if rows:
-            types = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string())
+            types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "kind"])
 
 
@@ -215,22 +218,34 @@ def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
     checked for Hamming distance in the join itself and for shingle similarity
     after, once per pair.
 
-    A plain node meets one labelled node of each of its buckets first.  In a
-    bucket of near-duplicates that settles nearly all of them, with one pair
-    each; only those still plain then meet all labelled nodes of their buckets.
+    A bucket with many labelled nodes is met in two waves: a share of them first,
+    about FIRST_WAVE, and by those nodes only that are still plain, the others.
+    In a bucket full of near-duplicates the first wave settles nearly all.
     """
-    left = plain.select("node", "words", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
-    right = labelled.select(F.col("words").alias("other_words"), F.col("hash").alias("other_hash"), "kind", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
-    one = right.groupBy("key").agg(F.min(F.struct("other_hash", "other_words", "kind")).alias("one")).select("key", "one.*")
-    settled = written(_verified(left.join(one, "key")), "settled")
+    left = plain.select("node", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    right = labelled.select(F.col("node").alias("other"), F.col("hash").alias("other_hash"), F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    crowded = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_WAVE)
+    share = F.coalesce(F.ceil(F.col("n") / F.lit(FIRST_WAVE)), F.lit(1))
+    right = right.join(crowded, "key", "left").withColumn("later", F.pmod(F.xxhash64("other"), share) != 0).drop("n")
+    first, later = right.where(~F.col("later")).drop("later"), right.where("later").drop("later")
+    found = _verified(_met(left, first), plain, labelled)
+    if later.isEmpty():
+        return found
+    settled = written(found, "settled")
     rest = left.join(settled.select("node"), "node", "left_anti")
-    return settled.unionByName(_verified(rest.join(right, "key")))
+    return settled.unionByName(_verified(_met(rest, later), plain, labelled))
 
 
-def _verified(met: DataFrame) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``node, other``: pairs of a bucket within the distance.  Merged, as the planner's estimate knows nothing of the many tables."""
     close = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash"))) <= MAX_DISTANCE
-    pairs = met.where(close).drop("key").distinct()
-    return pairs.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).groupBy("node").agg(F.min("kind").alias("kind"))
+    return left.join(right.hint("merge"), "key").where(close).select("node", "other").distinct()
+
+
+def _verified(pairs: DataFrame, plain: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``node, kind`` of the pairs whose words are similar; words are looked up for pairs, not carried through the tables."""
+    worded = pairs.join(plain.select("node", "words"), "node").join(labelled.select(F.col("node").alias("other"), F.col("words").alias("other_words"), "kind"), "other")
+    return worded.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).groupBy("node").agg(F.min("kind").alias("kind"))
 
 
 def _filler_words(nodes: DataFrame, least_units: int = 3) -> DataFrame:
