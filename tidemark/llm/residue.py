@@ -259,7 +259,8 @@ def _vocabulary_filler(nodes: DataFrame, share: float = 0.9, least_words: int =
     """``node, kind``: plain nodes nearly all of whose words are filler words."""
     plain = nodes.where(F.col("kind").isNull()).withColumn("split", F.split("words", " ")).where(F.size("split") >= least_words)
     words = plain.select("node", F.size("split").alias("n"), F.explode("split").alias("word"))
-    known = words.join(_filler_words(nodes), "word").groupBy("node", "n").agg(F.count(F.lit(1)).alias("known"))
+    vocabulary = written(_filler_words(nodes), "vocabulary")  # its size is then known, and joined accordingly
+    known = words.join(vocabulary, "word").groupBy("node", "n").agg(F.count(F.lit(1)).alias("known"))
     return known.where(F.col("known") >= share * F.col("n")).select("node", F.lit(FILLER).alias("kind"))
 
 
