@@ -20,8 +20,9 @@ STATS_SCHEMA = "table string, region int, segments long, compressed long"
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, buckets: int = 8) -> None:
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int = 8, location: str | None = None) -> None:
+        """``location`` is the folder of new tables; by default the session's warehouse."""
+        self.spark, self.buckets, self.location = spark, buckets, location
         self._views: dict[tuple[str, str], tuple[DataFrame, list[Field] | None]] = {}
 
     def register(self, keyspace: str, name: str, frame: DataFrame, fields: list[Field] | None = None) -> None:
@@ -51,10 +52,11 @@ class Catalog:
         fields = parse_schema(schema)
         columns = ", ".join(f"`{f.name}` {f.type.spark.simpleString()}" for f in fields)
         key = fields[0].name
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{table.keyspace}`")
+        place = f"LOCATION '{self.location}/{table.keyspace}/{table.name}'" if self.location else ""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{table.keyspace}`" + (f" LOCATION '{self.location}/{table.keyspace}'" if self.location else ""))
         self.spark.sql(
             f"CREATE TABLE `{table.keyspace}`.`{table.name}` ({columns}) USING parquet OPTIONS (compression 'zstd') "
-            f"CLUSTERED BY (`{key}`) {f'SORTED BY (`{key}`)' if ordered else ''} INTO {self.buckets} BUCKETS "
+            f"CLUSTERED BY (`{key}`) {f'SORTED BY (`{key}`)' if ordered else ''} INTO {self.buckets} BUCKETS {place} "
             f"TBLPROPERTIES ('{DECLARED}' = '{",".join(str(f.type) for f in fields)}', '{MEMORY}' = '{str(memory).lower()}', '{BUCKETS}' = '{self.buckets}', '{ORDERED}' = '{str(ordered).lower()}')"
         )
         if memory:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import placement
 from tidemark.functions.codecs import FieldType
+from tidemark.plans.ast import TableRef
 from tidemark.plans.filters import predicate_column, where
 from tidemark.plans.lower import Options
 from tidemark.session import Engine
+from tidemark.sources.shared import scratch
 from tidemark.sources.tables import table
+from tidemark.streaming.feed import feed, text_stream
 
 #: Keyed views of the test tables: the key comes first.
 KEYED = {
@@ -193,7 +196,77 @@ def partition_string(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_name", placement.checksum(F.col("n_name")).alias("checksum"), placement.partition(FieldType("STRING"), F.col("n_name"), 4).alias("region"))
 
 
-_EXTRA = (filter_builder, filter_sql_precedence, rows_as_text, rows_grouped_by_key, rows_ordered, codec_uuid, codec_ipv4, codec_time, codec_bool_byte, partition_uuid, partition_string)
+def _stored(spark: SparkSession, d: str) -> tuple[Engine, str, str]:
+    """An engine whose tables lie in the shared folder, a new keyspace, and a folder for its files."""
+    folder = scratch(spark, "store")
+    made = Engine(spark, location=folder)
+    for name, (stored, columns) in KEYED.items():
+        rows = table(spark, d, stored)
+        made.register(f"t.{name}", rows.select(*columns) if columns else rows)
+    return made, "s" + folder.rpartition("-")[2], folder
+
+
+def select_into(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed join INTO a table of another keyspace, then that table."""
+    made, space, _ = _stored(spark, d)
+    made.sql(f"create table {space}.pages user_id(STRING),url(STRING)")
+    made.sql(f"select vdna_user_id from t.syncs join select url from t.views into {space}.pages")
+    return made.df(f"select * from {space}.pages")
+
+
+PARTS = "p_partkey(BYTE),p_size(INT),p_name(STRING)"
+
+
+def _exported(spark: SparkSession, d: str) -> tuple[Engine, str, str]:
+    made, space, folder = _stored(spark, d)
+    made.sql("select p_partkey,p_size,p_name from t.part").export(f"{folder}/text", compression="gzip")
+    made.sql(f"create table {space}.parts {PARTS}")
+    return made, space, folder
+
+
+def load_text(spark: SparkSession, d: str) -> DataFrame:
+    """Exported, compressed text loaded into a table; keys above 255 are no BYTE and rejected."""
+    made, space, folder = _exported(spark, d)
+    made.load(f"{space}.parts", f"{folder}/text")
+    return made.df(f"select p_partkey,p_size,p_name from {space}.parts").withColumn("p_partkey", F.col("p_partkey").cast("int"))
+
+
+def load_rejects(spark: SparkSession, d: str) -> DataFrame:
+    made, space, folder = _exported(spark, d)
+    _, rejects = made.load(f"{space}.parts", f"{folder}/text")
+    return rejects.groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The same text as a stream of files, appended batch by batch."""
+    made, space, folder = _exported(spark, d)
+    feed(made.catalog, TableRef(space, "parts"), text_stream(spark, f"{folder}/text"), f"{folder}/progress", available_now=True).awaitTermination()
+    return made.df(f"count {space}.parts")
+
+
+def load_other_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of another table by a column mapping and filters."""
+    made, space, _ = _stored(spark, d)
+    made.sql(f"create table {space}.names id(LONG),name(STRING),nation(INT)")
+    made.load_table(f"{space}.names", table(spark, d, "customer"), {"id": "c_custkey", "name": "upper(c_name)", "nation": "c_nationkey"}, "c_nationkey < 10", "c_acctbal > 0")
+    return made.df(f"select * from {space}.names")
+
+
+def stats_and_description(spark: SparkSession, d: str) -> DataFrame:
+    """What STATS, DESCRIBE and compaction say of a table that was loaded twice."""
+    made, space, folder = _exported(spark, d)
+    for _ in range(2):
+        made.load(f"{space}.parts", f"{folder}/text")
+    stats = lambda: made.sql(f"stats {space}").df.agg(F.sum("segments"), F.min("compressed"), F.max("region")).first()
+    before = stats()
+    made.catalog.compact(TableRef(space, "parts"))
+    after = stats()
+    schema = next(x for x in made.sql(f"describe {space}.parts").info if x.startswith("schema"))
+    said = [(schema, before[0] > after[0] > 0, after[1] > 0, 0 <= after[2] < 8, made.sql(f"count {space}.parts").count)]
+    return spark.createDataFrame(said, "described string, compacted boolean, has_size boolean, has_region boolean, n long")
+
+
+_EXTRA = (select_into, load_text, load_rejects, stream_ingest, load_other_table, stats_and_description, filter_builder, filter_sql_precedence, rows_as_text, rows_grouped_by_key, rows_ordered, codec_uuid, codec_ipv4, codec_time, codec_bool_byte, partition_uuid, partition_string)
 QUERIES = {name: _statement(text) for name, (text, _) in STATEMENTS.items()} | {f.__name__: f for f in _EXTRA}
 
 _CANONICAL = "lower(" + " || '-' || ".join(f"substr(user_uid, {a}, {n})" for a, n in ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12))) + ")"
@@ -203,6 +276,13 @@ _WORDS = [f"CAST('0x' || substr(replace(u, '-', ''), {1 + 8 * i}, 8) AS BIGINT)"
 _MIXED = f"xor(xor({_WORDS[0]}, {_WORDS[1]}), xor({_WORDS[2]}, {_WORDS[3]}))"
 
 SQL = {name: sql for name, (_, sql) in STATEMENTS.items()} | {
+    "select_into": """SELECT coalesce(vdna_user_id, '') AS user_id, coalesce(url, '') AS url FROM views v JOIN (SELECT *, row_number() OVER (PARTITION BY at_id
+ORDER BY strlen(vdna_user_id) NULLS FIRST, vdna_user_id NULLS FIRST, "timestamp" NULLS FIRST) AS place FROM syncs) s ON s.at_id = v.at_id AND place = 1""",
+    "load_text": "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_size, p_name FROM part WHERE p_partkey <= 255",
+    "load_rejects": "SELECT 'p_partkey' AS fault, count(*) AS n FROM part WHERE p_partkey > 255 HAVING count(*) > 0",
+    "stream_ingest": 'SELECT count(*) AS "count" FROM part WHERE p_partkey <= 255',
+    "load_other_table": "SELECT c_custkey AS id, upper(c_name) AS name, c_nationkey AS nation FROM customer WHERE c_nationkey < 10 AND c_acctbal > 0",
+    "stats_and_description": f"SELECT 'schema: {PARTS}' AS described, true AS compacted, true AS has_size, true AS has_region, 2 * count(*) AS n FROM part WHERE p_partkey <= 255",
     "filter_builder": "SELECT p_partkey, p_size, p_name FROM part WHERE p_size > 40 AND (contains(p_name, 'a') OR p_partkey IN (1, 2, 3))",
     "filter_sql_precedence": "SELECT p_partkey FROM part WHERE (p_size < 20 AND p_size > 10) OR p_partkey < 50",
     "rows_as_text": "SELECT n_nationkey || '|' || n_name AS line FROM nation",

@@ -87,10 +87,10 @@ class Result:
 class Engine:
     """``sql`` runs statements over keyspaces of the session catalog and registered frames."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 8, options: Options = Options()) -> None:
+    def __init__(self, spark: SparkSession, buckets: int = 8, options: Options = Options(), location: str | None = None) -> None:
         ship(spark)
         self.spark, self.options = spark, options
-        self.catalog = Catalog(spark, buckets)
+        self.catalog = Catalog(spark, buckets, location)
 
     def register(self, name: str, frame: DataFrame, fields: list[Field] | None = None) -> "Engine":
         """A DataFrame as ``keyspace.table``; its first column is the key."""

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written once and read back.
 
@@ -30,9 +37,8 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     nothing.  It is removed when the application ends.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     frame.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(frame.schema).parquet(path)
 
 
