@@ -106,6 +106,41 @@ def test_tables_lose_no_pair(spark, first_wave, monkeypatch):
     assert found == {b[0] for a in rows if a[3] for b in rows if not b[3] and close(a[2], b[2]) and r.similarity(a[1], b[1]) >= 0.8} and found
 
 
+def reworded(rng, words, n):
+    other = [*words]
+    for at in rng.choice(len(words), n, replace=False):
+        other[int(at)] = f"novel{'abcdefghij'[int(at) % 10]}"
+    return other
+
+
+@pytest.mark.parametrize("first_wave", [64, 1])
+def test_similar_nodes_far_apart_in_simhash(spark, first_wave, monkeypatch):
+    """All pairs within the similarity are linked, whatever their distance, by comparison with all pairs; words are few, so that shingles recur."""
+    monkeypatch.setattr(r, "FIRST_WAVE", first_wave)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        base = [f"w{'abcd'[int(x)]}" for x in rng.integers(0, 4, int(rng.integers(1, 120)))]
+        for j in range(5):
+            words = base if j == 0 else reworded(rng, base, min(len(base), int(rng.integers(0, 3))))[: len(base) - int(rng.integers(0, 2))] or base
+            hashes = r.shingle_hashes(words)
+            rows.append((f"{i}-{j}", " ".join(words), r.simhash(words), len(hashes), r.prefix(hashes), "error page" if j in (0, 3) else None, bool(i % 7 == 0 and j > 2)))
+    data = spark.createDataFrame(rows, "node string, words string, hash long, n_shingles int, prefix array<int>, kind string, hunks boolean")
+    found = {x["node"] for x in r.similar_labelled(data.where(F.col("kind").isNull()).drop("kind"), data.where(F.col("kind").isNotNull())).collect()}
+    pairs = {(a[0], b[0], bin((a[2] ^ b[2]) & (2**64 - 1)).count("1")) for a in rows if a[5] for b in rows if not b[5] and a[6] == b[6] and r.similarity(a[1], b[1]) >= r.SIMILARITY}
+    assert found == {b for _, b, _ in pairs} and any(distance > r.MAX_DISTANCE for *_, distance in pairs)
+
+
+def test_labels_reach_reworded_residue(spark):
+    """Two words changed, no sign left, further apart in SimHash than any table reaches."""
+    first = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(80)]
+    first[40:43] = ["not", "found", "here"]
+    second = [*first[:40], "moved", "over", "there", *first[43:]]
+    texts = [" ".join(first), " ".join(second), " ".join(second) + HUNK, " ".join(reversed(second))]
+    assert r.judge(texts[1], True) is None and not near(first, second) and r.similarity(*texts[:2]) >= r.SIMILARITY
+    assert {x["doc_id"] for x in r.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == {0, 1}
+
+
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=3))
 def test_some_table_always_agrees(value, flipped):
     other = value

@@ -5,16 +5,18 @@ so that what a commit carries in its hunks plays no part.  The message, its
 subject and the part below are units.  Equal units, with numbers and ids masked, are
 one node.  Plain signs (an untouched form, a placeholder that is the subject,
 repeated filler, an error sentence where the diff should be ...) make a node
-trusted residue.  Near-duplicates of residue are found with partitioned SimHash
-tables over shingles of five words, verified by Hamming distance and by Jaccard
-similarity of the shingles, and the label is passed on through connected
-components, ring by ring from the trusted nodes; components without a trusted
-node are never walked.
+trusted residue.  Near-duplicates of residue are nodes with a Jaccard similarity
+of 0.8 or more over shingles of five words.  Candidates come from partitioned
+SimHash tables and, as most pairs at 0.8 are further apart in SimHash than any
+table reaches, from an exact prefix join on shingles.  The label is passed on
+through connected components, ring by ring from the trusted nodes; components
+without a trusted node are never walked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -142,18 +144,37 @@ def shingles(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+def shingle_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(words)], np.uint64)
+
+
 def simhash(words: list[str]) -> int:
     """64-bit SimHash of the shingles, as a signed number."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(words)], np.uint64)
+    return _simhash(shingle_hashes(words))
+
+
+def _simhash(hashes: np.ndarray) -> int:
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
-UNITS = "doc_id long, node binary, hunks boolean, words string, hash long, kind string"
+def prefix(hashes: np.ndarray) -> list[int]:
+    """The shingles that come first in the order of their hashes, as signed 32-bit numbers.
+
+    Two sets with a similarity of SIMILARITY or more share at least that part of
+    the larger one, so that the first shingle they share is among the first
+    n - ceil(SIMILARITY n) + 1 of each: no pair is missed.
+    """
+    n = len(hashes)
+    first = np.sort(hashes)[: n - math.ceil(SIMILARITY * n - 1e-9) + 1]
+    return (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
+
+
+UNITS = "doc_id long, node binary, hunks boolean, words string, hash long, n_shingles int, prefix array<int>, kind string"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashed: dict[str, int] = {}
+    hashed: dict[str, tuple[int, int, list[int]]] = {}
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -173,12 +194,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if flat not in hashed:
                     if len(hashed) > 50_000:
                         hashed.clear()
-                    hashed[flat] = simhash(words or [flat])
+                    hashes = shingle_hashes(words or [flat])
+                    hashed[flat] = _simhash(hashes), len(hashes), prefix(hashes)
                 node = hashlib.blake2b(f"{hunks:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc_id, node, hunks, flat, hashed[flat], kind))
+                rows.append((doc_id, node, hunks, flat, *hashed[flat], kind))
         if rows:
-            types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "kind"])
+            types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "n_shingles", "prefix", "kind"])
 
 
 def _table_keys(hash: Column, hunks: Column) -> Column:
@@ -210,36 +232,56 @@ def _similarities(left: Column, right: Column) -> Column:
 
 
 def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``node, kind``: plain nodes with a verified near-duplicate among the labelled ones; one label each.
+    """``node, kind``: plain nodes with a verified near-duplicate within MAX_DISTANCE among the labelled ones; one label each.
 
     Both have node, hunks, words, hash; labelled also kind.  Pairs meet in a
     table only if they agree in all but MAX_DISTANCE blocks and both are followed
     by hunks or neither is, as an error text above hunks is quoted; they are
     checked for Hamming distance in the join itself and for shingle similarity
     after, once per pair.
+    """
+    left = plain.select("node", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    right = labelled.select(F.col("node").alias("other"), F.col("hash").alias("other_hash"), F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
+    close = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash"))) <= MAX_DISTANCE
+    return _in_waves(left, right, close, plain, labelled)
+
+
+def similar_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``node, kind``: plain nodes with any near-duplicate among the labelled ones, however far apart in SimHash; one label each.
+
+    Both have node, hunks, words, n_shingles, prefix; labelled also kind.  Pairs
+    meet where their prefixes share a shingle, which all pairs do that are
+    similar enough, and are checked for their sizes in the join itself.
+    """
+    left = plain.select("node", "n_shingles", "hunks", F.explode("prefix").alias("shingle"))
+    right = labelled.select(F.col("node").alias("other"), F.col("n_shingles").alias("other_n"), "hunks", F.explode("prefix").alias("shingle"))
+    left, right = (side.withColumn("key", F.struct("hunks", "shingle")).drop("hunks", "shingle") for side in (left, right))
+    fits = F.least("n_shingles", "other_n") >= SIMILARITY * F.greatest("n_shingles", "other_n") - 1e-9
+    return _in_waves(left, right, fits, plain, labelled)
+
+
+def _in_waves(left: DataFrame, right: DataFrame, near: Column, plain: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``node, kind`` of the similar pairs that meet by key.
 
     A bucket with many labelled nodes is met in two waves: a share of them first,
     about FIRST_WAVE, and by those nodes only that are still plain, the others.
     In a bucket full of near-duplicates the first wave settles nearly all.
     """
-    left = plain.select("node", "hash", F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
-    right = labelled.select(F.col("node").alias("other"), F.col("hash").alias("other_hash"), F.explode(_table_keys(F.col("hash"), F.col("hunks"))).alias("key"))
-    crowded = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_WAVE)
+    crowded = written(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_WAVE), "crowded")  # few keys, and their size is known
     share = F.coalesce(F.ceil(F.col("n") / F.lit(FIRST_WAVE)), F.lit(1))
     right = right.join(crowded, "key", "left").withColumn("later", F.pmod(F.xxhash64("other"), share) != 0).drop("n")
     first, later = right.where(~F.col("later")).drop("later"), right.where("later").drop("later")
-    found = _verified(_met(left, first), plain, labelled)
-    if later.isEmpty():
+    found = _verified(_met(left, first, near), plain, labelled)
+    if crowded.isEmpty():
         return found
     settled = written(found, "settled")
-    rest = left.join(settled.select("node"), "node", "left_anti")
-    return settled.unionByName(_verified(_met(rest, later), plain, labelled))
+    rest = left.join(crowded.select("key"), "key", "left_semi").join(settled.select("node"), "node", "left_anti")
+    return settled.unionByName(_verified(_met(rest, later, near), plain, labelled))
 
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``node, other``: pairs of a bucket within the distance.  Merged, as the planner's estimate knows nothing of the many tables."""
-    close = F.bit_count(F.col("hash").bitwiseXOR(F.col("other_hash"))) <= MAX_DISTANCE
-    return left.join(right.hint("merge"), "key").where(close).select("node", "other").distinct()
+def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+    """``node, other``: pairs of a bucket that are near.  Merged, as the planner's estimate knows nothing of the many tables."""
+    return left.join(right.hint("merge"), "key").where(near).select("node", "other").distinct()
 
 
 def _verified(pairs: DataFrame, plain: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -274,14 +316,14 @@ def residue(documents: DataFrame) -> DataFrame:
     table gives no rows.
     """
     units = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS), "units")
-    nodes = units.groupBy("node").agg(F.min("hunks").alias("hunks"), F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("kind").alias("kind"))
+    nodes = units.groupBy("node").agg(F.min("hunks").alias("hunks"), F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("n_shingles").alias("n_shingles"), F.min("prefix").alias("prefix"), F.min("kind").alias("kind"))
     nodes = written(nodes, "nodes")
     wide = _vocabulary_filler(nodes)
     frontier = written(nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(wide, "node")), "ring")
     passed_on = frontier.join(nodes.where(F.col("kind").isNull()).select("node"), "node", "left_semi").select("node", "kind")
     plain = nodes.where(F.col("kind").isNull()).drop("kind").join(passed_on, "node", "left_anti")
     while True:
-        reached = near_labelled(plain, frontier)
+        reached = near_labelled(plain, frontier).unionByName(similar_labelled(plain, frontier)).groupBy("node").agg(F.min("kind").alias("kind"))
         frontier = written(plain.join(reached, "node"), "ring")
         if frontier.isEmpty():
             break
