@@ -57,6 +57,38 @@ def test_sessions(spark, seed, batch):
     assert found == expected
 
 
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(0, 30)), min_size=1, max_size=30), st.integers(1, 9))
+def test_closing_of_runs_that_overlap(runs, gap):
+    runs = sorted(runs)
+    entity, first, length = (np.array([c[i] for c in runs], np.int64) for i in (0, 1, 2))
+    where, start, last, weight = sessions.close_runs(entity, first, first + length, np.ones(len(runs), np.int64), gap)
+    expected = []
+    for e, t, n in runs:
+        if expected and expected[-1][0] == e and t - expected[-1][2] <= gap:
+            expected[-1][2:] = [max(expected[-1][2], t + n), expected[-1][3] + 1]
+        else:
+            expected.append([e, t, t + n, 1])
+    assert [list(x) for x in zip(entity[where].tolist(), start.tolist(), last.tolist(), weight.tolist())] == expected
+
+
+@pytest.mark.parametrize("hours", [2, 4])
+def test_sessions_with_a_gap_of_hours(spark, hours):
+    """Hours of a user that lie in one partition are joined over hours that lie in another."""
+    rng, gap = np.random.default_rng(hours), hours * 3_600_000
+    times = {i: sorted({int(x) for x in rng.integers(0, 20 * 86_400_000, 200)}) for i in range(4)}
+    start = datetime(2014, 10, 1, tzinfo=timezone.utc)
+    rows = [(user(i), start + timedelta(milliseconds=t), "x", "u", *[None] * 7) for i, ms in times.items() for t in ms]
+    base, expected = int(start.timestamp()) * 1000, set()
+    for i, ms in times.items():
+        cuts = [0, *(k for k in range(1, len(ms)) if ms[k] - ms[k - 1] > gap), len(ms)]
+        expected |= {(user(i), base + ms[a], base + ms[b - 1], ms[b - 1] - ms[a], b - a) for a, b in zip(cuts, cuts[1:])}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(x) for x in sessions.sessionize(frame(spark, rows), gap).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_a_gap_of_exactly_the_limit_joins(spark):
     start = datetime(2014, 10, 1, 0, 59, 59, 999000, tzinfo=timezone.utc)
     times = [start, start + timedelta(milliseconds=GAP), start + timedelta(milliseconds=2 * GAP + 1)]

@@ -30,16 +30,29 @@ from tidemark.operators.records import event_records
 RUNS = "entity string, start_ms long, end_ms long, n_records long"
 
 
+def _running_stop(entity: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The largest end so far of each entity, for runs that lie within others; ranks are compared, so that no number overflows."""
+    n = len(stop)
+    if n < 2 or ((stop[1:] >= stop[:-1]) | (entity[1:] != entity[:-1])).all():
+        return stop
+    order = np.argsort(stop, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    offset = n * np.concatenate([[0], np.cumsum(entity[1:] != entity[:-1])])
+    return stop[order][np.maximum.accumulate(rank + offset) - offset]
+
+
 def close_runs(entity: np.ndarray, first: np.ndarray, last: np.ndarray, weight: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Close run-length coded bitmaps with an element of ``gap`` bits.
 
     ``entity`` is a nondecreasing number per run, ``first`` and ``last`` the
-    inclusive ends of disjoint runs in ascending order within an entity,
-    ``weight`` the events under the run.  Returns the position of each closed
+    inclusive ends of runs in ascending order of ``first`` within an entity; with
+    gaps of more than an hour runs of the first closing may lie within others.
+    ``weight`` is the events under the run.  Returns the position of each closed
     run's first input run, its ends and its weight.
     """
     at = np.arange(len(first))
-    stop = last + 1  # exclusive while bits are being shifted
+    stop = _running_stop(entity, last + 1)  # exclusive while bits are being shifted
     reach = 1  # every run has been dilated to cover this many bits per set bit
     while True:
         if len(at) > 1:
