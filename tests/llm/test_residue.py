@@ -83,6 +83,16 @@ def test_labels_are_passed_on(spark):
     assert r.judge(texts[1], True) is None and found == {0, 1, 2, 4}
 
 
+def test_residue_below_a_merge_subject_and_of_equal_words(spark):
+    merge = GIT + "Merge branch 'fix/x' into main\n\n"
+    page, notice = "503 | The service is overloaded right now.\n", "You need to enable JavaScript to use this application.\n"
+    texts = [merge + page, merge + notice, merge + "<html><body>Error 502</body></html>\n", "The page is not found. Bye now.", "The page is not-found. Bye now."]
+    content = [merge + "* fix/x:\nFix page not found. Bye\n", merge + "Fix page not found\n", merge + page + HUNK, merge, GIT + "Merge pull request #3 from a/page-not-found\n", "Release notes 6.32\n\n- stop retry. Requests timed out.\n"]
+    rows = list(enumerate([*texts, *content]))
+    assert r.judge(texts[4], True) is None
+    assert {x["doc_id"] for x in r.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(len(texts)))
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "node string, words string, hash long, kind string").withColumn("hunks", F.lit(False))
 

@@ -48,6 +48,8 @@ _SUBJECT = re.compile(r"\ASubject: *(?:\[PATCH[^\]\n]*\] *)?", re.I)
 _HUNKS = re.compile(r"^(?:diff --|Index: |@@ )", re.M)
 _TRAILER = re.compile(r"^[ \t]*(?:[A-Z][A-Za-z]*-by: .*|Review: .*|\(cherry picked from commit [0-9a-f]+\)|---?[ \t]*|\d+\.\d+(?:\.\d+)?)[ \t]*$", re.M)
 _MERGE = re.compile(r"\A(?:merged? |release notes\b)", re.I)
+#: Below a merge subject: the list of merged commits or of conflicts, or one title without a full stop.
+_LISTED = re.compile(r"\A(?:[*-] |#? ?conflicts:|(?!<)[^\n.!?]+\Z)", re.I)
 _HTML = re.compile(r"\A<(?:!doctype|html|head|body)\b", re.I)
 _HOLE = re.compile(
     r"\$\{[\w ]+\}|\{\{ ?[\w ]+ ?\}\}|<%=? ?[\w ]+ ?%>|\$[A-Za-z_]+\$|%\([\w ]+\)s|@[A-Za-z_]+@|#\{[\w ]+\}|\{[A-Za-z_ ]+\}|__[A-Za-z_]+?__"
@@ -182,10 +184,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             message, hunks = message_of(text)
             subject, _, below = message.partition("\n\n")
-            settled, bare = False, not hunks and not _MERGE.match(message)
-            for unit in dict.fromkeys((below.strip(), subject, message)):
+            below, settled, merge = below.strip(), False, _MERGE.match(message)
+            for unit in dict.fromkeys((below, subject, message)):
+                # a merge subject and a list of merged commits talk about commits, as a text above hunks does
+                quoted = hunks or bool(merge) and (unit != below or bool(_LISTED.match(below)))
                 # the smallest residue unit is labelled, so that an ordinary part beside it stays ordinary
-                kind = None if settled else judge(unit, bare)
+                kind = None if settled else judge(unit, not quoted)
                 settled = settled or kind is not None
                 words = masked_words(unit)
                 flat = " ".join(words) if words else unit and " ".join(unit.split())
@@ -196,8 +200,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hashed.clear()
                     hashes = shingle_hashes(words or [flat])
                     hashed[flat] = _simhash(hashes), len(hashes), prefix(hashes)
-                node = hashlib.blake2b(f"{hunks:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc_id, node, hunks, flat, *hashed[flat], kind))
+                node = hashlib.blake2b(f"{quoted:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((doc_id, node, quoted, flat, *hashed[flat], kind))
         if rows:
             types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "n_shingles", "prefix", "kind"])
@@ -313,7 +317,8 @@ def residue(documents: DataFrame) -> DataFrame:
     empty texts, terse or empty messages, merges and release notes are no
     residue, nor is text quoted in a sentence or carried in hunks.  Rows of one
     doc_id count together, and the least of their kinds is given.  An empty
-    table gives no rows.
+    table gives no rows.  The part below a merge subject may be residue,
+    unless it lists what was merged or is one title without a full stop.
     """
     units = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS), "units")
     nodes = units.groupBy("node").agg(F.min("hunks").alias("hunks"), F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("n_shingles").alias("n_shingles"), F.min("prefix").alias("prefix"), F.min("kind").alias("kind"))
@@ -330,7 +335,9 @@ def residue(documents: DataFrame) -> DataFrame:
         passed_on = passed_on.unionByName(frontier.select("node", "kind"))
         plain = plain.join(frontier.select("node"), "node", "left_anti")
     direct = units.where(F.col("kind").isNotNull()).select("doc_id", "kind")
-    joined = units.select("doc_id", "node").join(passed_on, "node").select("doc_id", "kind")
+    # equal words may be judged apart by their marks; errors and notices are told by words, so all documents of the node have them
+    same = units.where(F.col("kind").isin(ERROR, SCRIPT)).select("node", "kind").distinct()
+    joined = units.select("doc_id", "node").join(passed_on.unionByName(same), "node").select("doc_id", "kind")
     return direct.unionByName(joined).groupBy("doc_id").agg(F.min("kind").alias("kind"))
 
 
