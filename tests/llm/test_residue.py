@@ -168,6 +168,13 @@ def test_vocabulary_of_filler(spark):
     assert [x["node"] for x in r._vocabulary_filler(nodes(spark, rows)).collect()] == ["hidden"]
 
 
+def test_latin_words_that_are_english_too():
+    classic = "Lorem ipsum dolor sit amet. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum."
+    assert r.judge(classic, False) == r.FILLER
+    for talk in ("Use lorem ipsum in tests", "Show a lorem ipsum", "Drop lorem ipsum dolor sit amet from the demo in a fixture"):
+        assert r.judge(talk, False) is None
+
+
 def test_similarity_and_simhash():
     assert r.shingles(["a", "b"]) == {"a b"} and r.similarity("a b c d e", "a b c d e") == 1.0
     assert r.simhash(["a"] * 5) == r.simhash(["a"] * 9)

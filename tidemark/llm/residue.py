@@ -59,7 +59,13 @@ _HOLE = re.compile(
 _QUOTED_HOLE = re.compile(rf"[\"'`“‘«](?:{_HOLE.pattern})[\"'`”’»]", re.I)
 _FORM_LINE = re.compile(r"#.*|[-*] \[ \].*|<!--.*-->")
 _LATIN = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
-_ENGLISH = re.compile(r"\b(?:the|a|an|of|from|in|to|for|and|with|is|on|by|this)\b", re.I)
+_ENGLISH = re.compile(r"\b(?:the|of|from|to|for|and|with|on|by|this)\b", re.I)
+_BOTH = re.compile(r"\b(?:a|an|in|is)\b", re.I)  # English, and Latin
+_CLASSIC = frozenset(
+    "dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud"
+    " exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur"
+    " excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
 _STAND_IN = re.compile(r"\b(?:sample copy|swap in the real words|(?:your|placeholder|dummy|sample|example) text(?: goes)? here|replace this text)\b", re.I)
 _TWICE = re.compile(r"\A([^.!?\n]{3,60}[.!?])(?:\s+\1)+")
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
@@ -112,7 +118,10 @@ def _is_filler(message: str) -> bool:
         return True
     if len(tokens) > 2 and all(len(t) > 2 and any(t in row for row in _KEYS) for t in tokens):
         return True
-    return bool(_LATIN.search(message)) and not _ENGLISH.search(message)
+    if not _LATIN.search(message) or _ENGLISH.search(message):
+        return False
+    others = re.findall(r"\w+", _BOTH.sub(" ", _LATIN.sub(" ", message)).lower())
+    return not _BOTH.search(message) or bool(others) and 2 * sum(w in _CLASSIC for w in others) >= len(others)
 
 
 def judge(message: str, bare: bool) -> str | None:
@@ -302,7 +311,13 @@ def _filler_words(nodes: DataFrame, least_units: int = 3) -> DataFrame:
 
 
 def _vocabulary_filler(nodes: DataFrame, share: float = 0.9, least_words: int = 6) -> DataFrame:
-    """``node, kind``: plain nodes nearly all of whose words are filler words."""
+    """``node, kind``: plain nodes nearly all of whose words are filler words.
+
+    Left out is filler without a sign of under ``least_words`` words, and, as
+    the words come from trusted filler of the same input, all such filler where
+    fewer than three trusted filler nodes share its words: a small input may
+    miss a document that a large one finds.
+    """
     plain = nodes.where(F.col("kind").isNull()).withColumn("split", F.split("words", " ")).where(F.size("split") >= least_words)
     words = plain.select("node", F.size("split").alias("n"), F.explode("split").alias("word"))
     vocabulary = written(_filler_words(nodes), "vocabulary")  # its size is then known, and joined accordingly
