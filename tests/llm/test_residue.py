@@ -19,6 +19,9 @@ RESIDUE = {
     SVN + "[@ticket@] adjust %(module)s settings\n" + HUNK: r.PLACEHOLDER,
     "## What does this change do?\n\n## Why?\n\n- [ ] tests added\n" + HUNK: r.FORM,
     GIT + "# Write a message above.\n#\n# Lines with a hash are dropped.\n" + HUNK: r.FORM,
+    MAIL + "Subject of at most 72 characters\n\nDetails go here. Explain why, not how.\n\nBug: n/a\n---\n" + HUNK: r.FORM,
+    GIT + "Type your message here\n\nReplace this section with what the change does.\n" + HUNK: r.FORM,
+    SVN + "Commit message goes here\n" + HUNK: r.FORM,
     MAIL + "Lorem ipsum dolor velit nullam undique\ntotem amur.\n--\n1.1\n": r.FILLER,
     "asdf asdf asdf asdf" + HUNK: r.FILLER,
     "qwer asdf zxcv" + HUNK: r.FILLER,
@@ -42,6 +45,9 @@ CONTENT = [
     GIT + "Merge branch 'fix/not-found' into main\n\n    * fix/not-found:\n      Fix page not found\n",
     MAIL + "Release notes 6.32\n\n- remove retry on timed out requests\n--\n2.0\n",
     MAIL + "Bump zulib from 4.4.4 to 8.5.8\n\n- notes: https://z.example/notes\n---\n" + HUNK,
+    GIT + "Keep subjects under 72 characters\n\nThe log view cut longer ones off.\n" + HUNK, GIT + "Say what and why a hook failed\n\nThe loader told neither.\n\nBug: n/a\n" + HUNK,
+    GIT + "Split the form\n\nTwo threads shared one open cursor; the table is named.\n\nTwo threads shared one open cursor; the table is named.\n" + HUNK,
+    GIT + "Drop lorem ipsum fixture\n" + HUNK, GIT + "Handle timed out sockets in the pool\n", GIT + "Enable scripts in CI\n", "Log forbidden requests once",
     "", None,
 ]
 
@@ -87,6 +93,8 @@ def test_residue_below_a_merge_subject_and_of_equal_words(spark):
     merge = GIT + "Merge branch 'fix/x' into main\n\n"
     page, notice = "503 | The service is overloaded right now.\n", "You need to enable JavaScript to use this application.\n"
     texts = [merge + page, merge + notice, merge + "<html><body>Error 502</body></html>\n", "The page is not found. Bye now.", "The page is not-found. Bye now."]
+    sentence = {text: size for text, size in r.sentences(page)}
+    assert sentence == {"the service is overloaded right now": 6}
     content = [merge + "* fix/x:\nFix page not found. Bye\n", merge + "Fix page not found\n", merge + page + HUNK, merge, GIT + "Merge pull request #3 from a/page-not-found\n", "Release notes 6.32\n\n- stop retry. Requests timed out.\n"]
     rows = list(enumerate([*texts, *content]))
     assert r.judge(texts[4], True) is None
@@ -181,6 +189,29 @@ def test_similarity_and_simhash():
     assert r.masked_words("Code 3c060a3085, wait 12 s ${X}") == ["code", "0", "wait", "0", "s", "__hole__"]
 
 
+def test_labels_pass_through_stock_sentences(spark):
+    """No sign and no near-duplicate: a unit in the place of a diff is linked by a sentence a quarter of whose units are residue, and by what it links in turn."""
+    stock, other, common = "kindly wait while we look for it", "nothing can be shown at the moment", "see the notes of the last meeting"
+    signed = [f"The {x} is overloaded. {stock.capitalize()}. {common.capitalize()}." for x in ("mirror", "archive", "gateway")]
+    texts = [*signed, f"Lost in the woods. {stock}. {other}.", f"Broken glass all over. {other}.", f"Moved to a new house. {other}. " + "far too long for one known sentence to tell " * 4, stock + HUNK, *(f"Plan number {'abcdefghijklm'[i]} follows. {common}." for i in range(13))]
+    found = {x["doc_id"]: x["kind"] for x in r.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0).collect()}
+    assert found == {0: r.ERROR, 1: r.ERROR, 2: r.ERROR, 3: r.LINKED, 4: r.LINKED}
+
+
+@pytest.mark.parametrize("sample, most", [(20_000, 1), (0, 0)])
+def test_words_of_signed_nodes_tell_unsigned_ones(spark, sample, most):
+    """A unit that shares the words, but no sentence, of signed pages is found by the model; one of a commit's words is not."""
+    rng = np.random.default_rng(5)
+    pages = ["browser", "viewer", "visitor", "network", "reload", "gateway"]
+    plain = ["reader", "index", "cursor", "loader", "schema", "header", "buffer"]
+    some = lambda words, n: " ".join(words[int(i)] for i in rng.permutation(len(words))[:n])
+    texts = [f"{some(pages, 4)} not found {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    texts += [f"{some(plain, 4)} {some(pages, 1) if i < 5 else ''}{HUNK}" for i in range(200)]
+    texts += ["network browser reload", "cursor schema header"]
+    found = {x["doc_id"]: x["kind"] for x in r.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample).collect()}
+    assert set(range(60)) <= set(found) and {d: k for d, k in found.items() if d >= 60} == ({260: r.WORDING} if most else {})
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "asdf asdf asdf"), (2, "x" * 300_000)]])
 def test_edges(spark, rows):
     found = r.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()

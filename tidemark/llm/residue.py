@@ -3,14 +3,19 @@
 A commit's message is cut out of its text: header, trailers and diff hunks go,
 so that what a commit carries in its hunks plays no part.  The message, its
 subject and the part below are units.  Equal units, with numbers and ids masked, are
-one node.  Plain signs (an untouched form, a placeholder that is the subject,
-repeated filler, an error sentence where the diff should be ...) make a node
-trusted residue.  Near-duplicates of residue are nodes with a Jaccard similarity
-of 0.8 or more over shingles of five words.  Candidates come from partitioned
-SimHash tables and, as most pairs at 0.8 are further apart in SimHash than any
-table reaches, from an exact prefix join on shingles.  The label is passed on
-through connected components, ring by ring from the trusted nodes; components
-without a trusted node are never walked.
+one node.  Labels start from trusted nodes: those with a plain sign (an untouched
+form, a placeholder that is the subject, repeated filler, an error sentence where
+the diff should be ...), and units in the place of a diff whose words are those of
+trusted residue, by a word model fitted on a bounded sample of the signed nodes.
+
+Labels are then passed on through connected components, ring by ring from the
+trusted nodes; components without a trusted node are never walked.  Two links make
+a component.  Nodes are near-duplicates at a Jaccard similarity of 0.8 or more over
+shingles of five words; candidates come from partitioned SimHash tables and, as
+most pairs at 0.8 are further apart in SimHash than any table reaches, from an
+exact prefix join on shingles.  Residue in the place of a diff is often put
+together from stock sentences, too short for shingles: units there are linked
+through equal sentences a good part of whose units are residue.
 """
 
 from __future__ import annotations
@@ -40,7 +45,18 @@ BLOCK_BITS = (13, 13, 13, 13, 12)
 #: Labelled nodes of a bucket that plain nodes meet before the others.
 FIRST_WAVE = 64
 
+#: Signed and plain nodes that the word model is fitted on, at most so many of each; which ones, their ids decide.
+SAMPLE = 20_000
+#: Log odds above which the words of a unit in the place of a diff make it residue.
+LEAST_ODDS = 5.0
+#: Nodes that must have a word before it speaks for or against.
+LEAST_NODES = 3
+#: Words of a sentence that links units, the part of the units with it that must be residue, and the part of a unit that such sentences must make up.
+SENTENCE_WORDS, SENTENCE_SHARE, SENTENCE_PART = 3, 0.25, 0.25
+
 PLACEHOLDER, FORM, FILLER, ERROR, SCRIPT = "placeholder", "form", "filler", "error page", "script notice"
+#: Kinds of documents without a sign of their own.
+WORDING, LINKED = "wording", "linked"
 
 # The layouts that text is recognised by.
 _HEADER = re.compile(r"\A(?:commit [0-9a-f]{7,40}\n(?:[A-Z][A-Za-z-]*:.*\n)+\n?|From [0-9a-f]{7,40} .*\n(?:(?:From|Date|To|Cc):.*\n)*|-{40,}\nr\d+ \|.*\n\n?)")
@@ -58,6 +74,16 @@ _HOLE = re.compile(
 )
 _QUOTED_HOLE = re.compile(rf"[\"'`“‘«](?:{_HOLE.pattern})[\"'`”’»]", re.I)
 _FORM_LINE = re.compile(r"#.*|[-*] \[ \].*|<!--.*-->")
+_INSTRUCTION = re.compile(
+    r"\b(?:at most|up to|under|below|less than|no more than|within|max(?:imum|\.)?(?: of)?|limited? to|first) (?:about )?\d+ char|\d+ char(?:acter)?s? (?:or less|at most|max)"
+    r"|\b(?:message|title|summary|description|subject|text|details?|explanation) (?:goes )?here\b|\breplace this (?:text|line|paragraph|section|message)\b"
+    r"|\b(?:enter|type|write|insert|put) (?:your|a|the) (?:commit )?(?:message|title|summary|description|subject)\b"
+    r"|\bgoes? here\b|\bwhat and why\b|\b(?:describe|explain|say|state|summari[sz]e) (?:the|your|what|why|how|in)\b|\b(?:detailed|longer|further) (?:explanat|descript)\w+",
+    re.I,
+)
+#: The whole subject is an instruction.
+_SUBJECT_HERE = re.compile(r"\W*(?:(?:your|the|a|short|brief|commit) ){0,3}(?:message|title|summary|description|subject)(?: goes)? here\W*", re.I)
+_EMPTY_FIELD = re.compile(r"[A-Z][\w /-]{0,30}: *(?:none(?: given)?(?: yet)?|n/?a|tbd|to ?do|x{3,}|[-.?_]+)?", re.I)
 _LATIN = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
 _ENGLISH = re.compile(r"\b(?:the|of|from|to|for|and|with|on|by|this)\b", re.I)
 _BOTH = re.compile(r"\b(?:a|an|in|is)\b", re.I)  # English, and Latin
@@ -67,7 +93,16 @@ _CLASSIC = frozenset(
     " excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _STAND_IN = re.compile(r"\b(?:sample copy|swap in the real words|(?:your|placeholder|dummy|sample|example) text(?: goes)? here|replace this text)\b", re.I)
-_TWICE = re.compile(r"\A([^.!?\n]{3,60}[.!?])(?:\s+\1)+")
+#: A short sentence twice or any three times; a sentence of prose pasted twice is none.
+_AGAIN = re.compile(r"\A((?:[^.!?\s]+ ){0,3}[^.!?\s]+[.!?])(?: \1)+|\A([^.!?]{3,60}[.!?])(?: \2){2,}")
+#: A commit's subject: one line that begins with one of these verbs and holds no sentence.
+_VERB = re.compile(
+    r"\A(?:\[[^\]\n]*\] *|[\w./-]+: *)?(?:add|allow|avoid|bump|cache|change|check|clean|convert|disable|document|drop|enable|ensure|escape|expand|expose|extend|fix|format|guard|handle|harden|hide|ignore|implement|improve"
+    r"|include|inline|introduce|keep|limit|log|make|merge|move|port|prevent|print|refactor|reject|remove|rename|replace|report|require|retry|return|revert|revisit|rework|send|set|show|simplify|skip|sort|speed|split|stop"
+    r"|support|switch|tell|test|treat|tune|unify|update|upgrade|use|validate|warn|wrap|write)s?\b[^\n.!?]*\Z",
+    re.I,
+)
+_ADDRESSED = re.compile(r"\b(?:to (?:view|use|see|list|continue|run|read|load|display)|(?:this|your) (?:page|site|app\w*|viewer|browser|settings))\b", re.I)
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 _ERROR = re.compile(
     r"could not be (?:reached|found|loaded|displayed|opened)|\bnot found\b|does not exist|did not answer|gave no answer|refused the connection|access (?:was |is )?(?:refused|denied)"
@@ -99,7 +134,13 @@ def message_of(text: str) -> tuple[str, bool]:
 
 def _is_form(message: str) -> bool:
     lines = [line for line in message.split("\n") if line]
-    return len(lines) > 1 and all(_FORM_LINE.fullmatch(line) for line in lines)
+    if len(lines) > 1 and all(_FORM_LINE.fullmatch(line) for line in lines):
+        return True
+    if _SUBJECT_HERE.fullmatch(message.split("\n", 1)[0]):
+        return True
+    parts = [" ".join(part.split()) for part in message.split("\n\n") if part.strip()]
+    told = [bool(_INSTRUCTION.search(part)) for part in parts]
+    return len(parts) > 1 and any(told) and all(t or _EMPTY_FIELD.fullmatch(part) for t, part in zip(told, parts))
 
 
 def _is_hole(message: str) -> bool:
@@ -114,12 +155,14 @@ def _is_hole(message: str) -> bool:
 def _is_filler(message: str) -> bool:
     flat = " ".join(message.split())
     tokens = flat.lower().split(" ")
-    if len(tokens) > 2 and len(set(tokens)) == 1 or len(flat) > 5 and not re.search(r"\w", flat) or _TWICE.match(flat) or _STAND_IN.search(flat):
+    if len(tokens) > 2 and len(set(tokens)) == 1 or len(flat) > 5 and not re.search(r"\w", flat) or _AGAIN.match(flat) or _STAND_IN.search(flat):
         return True
     if len(tokens) > 2 and all(len(t) > 2 and any(t in row for row in _KEYS) for t in tokens):
         return True
     if not _LATIN.search(message) or _ENGLISH.search(message):
         return False
+    if len(tokens) < 8 and not _LATIN.match(flat):
+        return False
     others = re.findall(r"\w+", _BOTH.sub(" ", _LATIN.sub(" ", message)).lower())
     return not _BOTH.search(message) or bool(others) and 2 * sum(w in _CLASSIC for w in others) >= len(others)
 
@@ -130,7 +173,7 @@ def judge(message: str, bare: bool) -> str | None:
         return None
     if _is_form(message):
         return FORM
-    if bare:
+    if bare and (not _VERB.match(message) or _ADDRESSED.search(message)):
         if _SCRIPT.search(message):
             return SCRIPT
         if _ERROR.search(message):
@@ -181,7 +224,21 @@ def prefix(hashes: np.ndarray) -> list[int]:
     return (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
 
 
-UNITS = "doc_id long, node binary, hunks boolean, words string, hash long, n_shingles int, prefix array<int>, kind string"
+#: Sentences end at a full stop, a line end or a tag.
+_SENTENCE_END = re.compile(r"(?<=[.!?:;|])\s+|\n+|<[^>]*>")
+
+
+def sentences(unit: str) -> list[tuple[str, int]]:
+    """The masked words of each sentence of at least SENTENCE_WORDS words, once, and how many they are."""
+    masked = (masked_words(part) for part in _SENTENCE_END.split(unit))
+    return sorted({(" ".join(words), len(words)) for words in masked if len(words) >= SENTENCE_WORDS})
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+UNITS = "doc_id long, node binary, hunks boolean, words string, hash long, n_shingles int, prefix array<int>, kind string, sentences array<struct<sentence: binary, size: int>>"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +266,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hashed.clear()
                     hashes = shingle_hashes(words or [flat])
                     hashed[flat] = _simhash(hashes), len(hashes), prefix(hashes)
-                node = hashlib.blake2b(f"{quoted:d}{flat}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc_id, node, quoted, flat, *hashed[flat], kind))
+                said = None if quoted else [(_digest(text), size) for text, size in sentences(unit)]
+                rows.append((doc_id, _digest(f"{quoted:d}{flat}"), quoted, flat, *hashed[flat], kind, said))
         if rows:
-            types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "n_shingles", "prefix", "kind"])
+            said = pa.list_(pa.struct([("sentence", pa.binary()), ("size", pa.int32())]))
+            types = (pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), said)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "node", "hunks", "words", "hash", "n_shingles", "prefix", "kind", "sentences"])
 
 
 def _table_keys(hash: Column, hunks: Column) -> Column:
@@ -245,9 +303,9 @@ def _similarities(left: Column, right: Column) -> Column:
 
 
 def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``node, kind``: plain nodes with a verified near-duplicate within MAX_DISTANCE among the labelled ones; one label each.
+    """``node``: plain nodes with a verified near-duplicate within MAX_DISTANCE among the labelled ones.
 
-    Both have node, hunks, words, hash; labelled also kind.  Pairs meet in a
+    Both have node, hunks, words, hash.  Pairs meet in a
     table only if they agree in all but MAX_DISTANCE blocks and both are followed
     by hunks or neither is, as an error text above hunks is quoted; they are
     checked for Hamming distance in the join itself and for shingle similarity
@@ -260,9 +318,9 @@ def near_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def similar_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``node, kind``: plain nodes with any near-duplicate among the labelled ones, however far apart in SimHash; one label each.
+    """``node``: plain nodes with any near-duplicate among the labelled ones, however far apart in SimHash.
 
-    Both have node, hunks, words, n_shingles, prefix; labelled also kind.  Pairs
+    Both have node, hunks, words, n_shingles, prefix.  Pairs
     meet where their prefixes share a shingle, which all pairs do that are
     similar enough, and are checked for their sizes in the join itself.
     """
@@ -274,11 +332,12 @@ def similar_labelled(plain: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def _in_waves(left: DataFrame, right: DataFrame, near: Column, plain: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``node, kind`` of the similar pairs that meet by key.
+    """``node`` of the similar pairs that meet by key.
 
     A bucket with many labelled nodes is met in two waves: a share of them first,
     about FIRST_WAVE, and by those nodes only that are still plain, the others.
-    In a bucket full of near-duplicates the first wave settles nearly all.
+    In a bucket full of near-duplicates the first wave settles nearly all.  Which
+    nodes are found does not depend on the waves.
     """
     crowded = written(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_WAVE), "crowded")  # few keys, and their size is known
     share = F.coalesce(F.ceil(F.col("n") / F.lit(FIRST_WAVE)), F.lit(1))
@@ -289,7 +348,7 @@ def _in_waves(left: DataFrame, right: DataFrame, near: Column, plain: DataFrame,
         return found
     settled = written(found, "settled")
     rest = left.join(crowded.select("key"), "key", "left_semi").join(settled.select("node"), "node", "left_anti")
-    return settled.unionByName(_verified(_met(rest, later, near), plain, labelled))
+    return settled.unionByName(_verified(_met(rest, later, near), plain, labelled)).distinct()
 
 
 def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
@@ -298,9 +357,9 @@ def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, plain: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``node, kind`` of the pairs whose words are similar; words are looked up for pairs, not carried through the tables."""
-    worded = pairs.join(plain.select("node", "words"), "node").join(labelled.select(F.col("node").alias("other"), F.col("words").alias("other_words"), "kind"), "other")
-    return worded.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).groupBy("node").agg(F.min("kind").alias("kind"))
+    """``node`` of the pairs whose words are similar; words are looked up for pairs, not carried through the tables."""
+    worded = pairs.join(plain.select("node", "words"), "node").join(labelled.select(F.col("node").alias("other"), F.col("words").alias("other_words")), "other")
+    return worded.where(_similarities(F.col("words"), F.col("other_words")) >= SIMILARITY).select("node").distinct()
 
 
 def _filler_words(nodes: DataFrame, least_units: int = 3) -> DataFrame:
@@ -325,35 +384,77 @@ def _vocabulary_filler(nodes: DataFrame, share: float = 0.9, least_words: int =
     return known.where(F.col("known") >= share * F.col("n")).select("node", F.lit(FILLER).alias("kind"))
 
 
-def residue(documents: DataFrame) -> DataFrame:
+def _likely(nodes: DataFrame, sample: int) -> DataFrame:
+    """``node, kind``: plain units in the place of a diff that speak like the signed error pages and script notices.
+
+    A word model, fitted on at most ``sample`` signed and as many plain nodes,
+    those with the least ids: the log odds of a word are those of meeting it in a
+    signed node against a plain one, of a unit the sum over its words.  A word in
+    fewer than LEAST_NODES of the sampled nodes of a side says nothing for it.
+    """
+    signed = nodes.where(F.col("kind").isin(ERROR, SCRIPT) & ~F.col("hunks")).orderBy("node").limit(sample)
+    plain = nodes.where(F.col("kind").isNull()).orderBy("node").limit(sample)
+    fitted = written(signed.select(F.lit(True).alias("signed"), "words").unionByName(plain.select(F.lit(False).alias("signed"), "words")), "sample")
+    words = fitted.select("signed", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
+    counts = words.groupBy("word").agg(F.count_if("signed").alias("inside"), F.count_if(~F.col("signed")).alias("outside"))
+    inside, outside = fitted.agg(F.count_if("signed")).scalar(), fitted.agg(F.count_if(~F.col("signed"))).scalar()
+    odds = F.log((F.col("inside") + 0.5) / (inside + 1)) - F.log((F.col("outside") + 0.5) / (outside + 1))
+    speaks = F.when(odds > 0, F.col("inside") >= LEAST_NODES).otherwise(F.col("outside") >= LEAST_NODES)
+    weights = written(counts.select("word", odds.alias("odds")).where(speaks), "odds")
+    bare = nodes.where(F.col("kind").isNull() & ~F.col("hunks")).select("node", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
+    return bare.join(weights, "word").groupBy("node").agg(F.sum("odds").alias("odds")).where(F.col("odds") > LEAST_ODDS).select("node", F.lit(WORDING).alias("kind"))
+
+
+def _by_sentences(said: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``node``: units, SENTENCE_PART or more of whose words are in sentences of which SENTENCE_SHARE or more of the units are residue; labelled ones included.
+
+    ``said`` is ``node, sentence, size, words``, a row per unit and sentence.
+    """
+    marked = said.join(labelled.select("node", F.lit(1).alias("known")), "node", "left")
+    # counted by sentence with map-side combining and joined back, so that no task gathers the units of a stock sentence
+    stock = marked.groupBy("sentence").agg(F.count("known").alias("known"), F.count(F.lit(1)).alias("n")).where(F.col("known") >= F.greatest(F.lit(1), SENTENCE_SHARE * F.col("n"))).select("sentence")
+    held = said.join(stock, "sentence", "left_semi").groupBy("node", "words").agg(F.sum("size").alias("held"))
+    return held.where(F.col("held") >= SENTENCE_PART * F.col("words")).select("node")
+
+
+def residue(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, kind``: a row per document that is residue instead of a commit.
 
     ``documents`` has doc_id and text; other columns are not read.  Null and
     empty texts, terse or empty messages, merges and release notes are no
-    residue, nor is text quoted in a sentence or carried in hunks.  Rows of one
-    doc_id count together, and the least of their kinds is given.  An empty
-    table gives no rows.  The part below a merge subject may be residue,
-    unless it lists what was merged or is one title without a full stop.
+    residue, nor is text quoted in a sentence or carried in hunks, nor one line
+    that reads like a commit's subject.  Rows of one doc_id count together.  The
+    kind is the least of those its own signs tell; without a sign it is
+    ``filler`` or ``wording`` where its words tell, ``linked`` where a label was
+    passed on to it.  An empty table gives no rows.  The part below a merge
+    subject may be residue, unless it lists what was merged or is one title
+    without a full stop.  ``sample`` bounds the nodes that the word model is
+    fitted on; all nodes are judged by it.
     """
     units = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS), "units")
-    nodes = units.groupBy("node").agg(F.min("hunks").alias("hunks"), F.min("words").alias("words"), F.min("hash").alias("hash"), F.min("n_shingles").alias("n_shingles"), F.min("prefix").alias("prefix"), F.min("kind").alias("kind"))
-    nodes = written(nodes, "nodes")
-    wide = _vocabulary_filler(nodes)
-    frontier = written(nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(wide, "node")), "ring")
-    passed_on = frontier.join(nodes.where(F.col("kind").isNull()).select("node"), "node", "left_semi").select("node", "kind")
-    plain = nodes.where(F.col("kind").isNull()).drop("kind").join(passed_on, "node", "left_anti")
+    least = ("hunks", "words", "hash", "n_shingles", "prefix", "kind", "sentences")
+    nodes = written(units.groupBy("node").agg(*(F.min(c).alias(c) for c in least)), "nodes")
+    said = nodes.where(F.size("sentences") > 0).select("node", F.size(F.split("words", " ")).alias("words"), F.inline("sentences"))
+    worded = written(_vocabulary_filler(nodes).unionByName(_likely(nodes, sample)).groupBy("node").agg(F.min("kind").alias("kind")), "worded")
+    frontier = nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(worded, "node").select(*nodes.columns))
+    labelled = frontier.select("node")
+    plain = nodes.where(F.col("kind").isNull()).join(worded.select("node"), "node", "left_anti")
+    linked = None
     while True:
-        reached = near_labelled(plain, frontier).unionByName(similar_labelled(plain, frontier)).groupBy("node").agg(F.min("kind").alias("kind"))
+        reached = near_labelled(plain, frontier).unionByName(similar_labelled(plain, frontier)).unionByName(_by_sentences(said, labelled)).distinct()
         frontier = written(plain.join(reached, "node"), "ring")
         if frontier.isEmpty():
             break
-        passed_on = passed_on.unionByName(frontier.select("node", "kind"))
+        linked = frontier.select("node") if linked is None else linked.unionByName(frontier.select("node"))
+        labelled = labelled.unionByName(frontier.select("node"))
         plain = plain.join(frontier.select("node"), "node", "left_anti")
-    direct = units.where(F.col("kind").isNotNull()).select("doc_id", "kind")
-    # equal words may be judged apart by their marks; errors and notices are told by words, so all documents of the node have them
+    passed = worded if linked is None else worded.unionByName(linked.withColumn("kind", F.lit(LINKED)))
+    # a node with a sign in one place may lack it in another, as equal words may be judged apart by their marks;
+    # errors and notices are told by words, so all documents of the node have them
     same = units.where(F.col("kind").isin(ERROR, SCRIPT)).select("node", "kind").distinct()
-    joined = units.select("doc_id", "node").join(passed_on.unionByName(same), "node").select("doc_id", "kind")
-    return direct.unionByName(joined).groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    own = units.where(F.col("kind").isNotNull()).select("doc_id", "kind").unionByName(units.select("doc_id", "node").join(same, "node").select("doc_id", "kind"))
+    told = own.withColumn("linked", F.lit(None).cast("string")).unionByName(units.select("doc_id", "node").join(passed, "node").select("doc_id", F.lit(None).cast("string").alias("kind"), F.col("kind").alias("linked")))
+    return told.groupBy("doc_id").agg(F.coalesce(F.min("kind"), F.min("linked")).alias("kind"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
