@@ -42,6 +42,8 @@ MAX_DISTANCE = 3
 #: hashes within MAX_DISTANCE bits agree in at least one table.
 BLOCK_BITS = (13, 13, 13, 13, 12)
 
+#: Bits of the hash by which plain keys are looked up among labelled ones before they are shuffled.
+MARK_BITS = 24
 #: Labelled nodes of a bucket that plain nodes meet before the others.
 FIRST_WAVE = 64
 
@@ -339,6 +341,7 @@ def _in_waves(left: DataFrame, right: DataFrame, near: Column, plain: DataFrame,
     In a bucket full of near-duplicates the first wave settles nearly all.  Which
     nodes are found does not depend on the waves.
     """
+    left = written(_may_meet(left, right), "may-meet")
     crowded = written(right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_WAVE), "crowded")  # few keys, and their size is known
     share = F.coalesce(F.ceil(F.col("n") / F.lit(FIRST_WAVE)), F.lit(1))
     right = right.join(crowded, "key", "left").withColumn("later", F.pmod(F.xxhash64("other"), share) != 0).drop("n")
@@ -351,6 +354,20 @@ def _in_waves(left: DataFrame, right: DataFrame, near: Column, plain: DataFrame,
     return settled.unionByName(_verified(_met(rest, later, near), plain, labelled)).distinct()
 
 
+def _may_meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of ``left`` whose key ``right`` may have: those whose bit is set in a bitmap of the right keys' hashes.
+
+    The bitmap has 2 ** MARK_BITS bits in words of 64, so at most 2 ** (MARK_BITS - 6)
+    rows are broadcast, whatever the data is.  Full of keys it lets more rows
+    through, but it never holds one back that could meet.
+    """
+    slot = F.pmod(F.xxhash64("key"), F.lit(1 << MARK_BITS))
+    cell, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    marks = right.groupBy(cell.alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks"))
+    marked = left.withColumn("cell", cell).join(F.broadcast(marks), "cell")
+    return marked.where(F.call_function("shiftrightunsigned", F.col("marks"), bit).bitwiseAND(F.lit(1)) == 1).drop("cell", "marks")
+
+
 def _met(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
     """``node, other``: pairs of a bucket that are near.  Merged, as the planner's estimate knows nothing of the many tables."""
     return left.join(right.hint("merge"), "key").where(near).select("node", "other").distinct()
@@ -432,11 +449,11 @@ def residue(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fitted on; all nodes are judged by it.
     """
     units = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, UNITS), "units")
-    least = ("hunks", "words", "hash", "n_shingles", "prefix", "kind", "sentences")
+    least = ("hunks", "words", "hash", "n_shingles", "prefix", "kind")
     nodes = written(units.groupBy("node").agg(*(F.min(c).alias(c) for c in least)), "nodes")
-    said = nodes.where(F.size("sentences") > 0).select("node", F.size(F.split("words", " ")).alias("words"), F.inline("sentences"))
+    said = written(units.where(F.size("sentences") > 0).select("node", F.size(F.split("words", " ")).alias("words"), F.inline("sentences")).distinct(), "said")
     worded = written(_vocabulary_filler(nodes).unionByName(_likely(nodes, sample)).groupBy("node").agg(F.min("kind").alias("kind")), "worded")
-    frontier = nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(worded, "node").select(*nodes.columns))
+    frontier = written(nodes.where(F.col("kind").isNotNull()).unionByName(nodes.drop("kind").join(worded, "node").select(*nodes.columns)), "ring")
     labelled = frontier.select("node")
     plain = nodes.where(F.col("kind").isNull()).join(worded.select("node"), "node", "left_anti")
     linked = None
