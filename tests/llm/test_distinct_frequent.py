@@ -119,6 +119,18 @@ def test_frequent_values(spark, at_once, monkeypatch):
             frequent.frequent_values(data, F.col("v"), bad)
 
 
+@pytest.mark.parametrize("most_bits", [18, 4])
+def test_many_frequent_values_end_in_two_reads(spark, most_bits, monkeypatch):
+    """Hundreds of values of about the share, more than cells in one case; the bounds enclose the counts."""
+    monkeypatch.setattr(frequent, "MOST_BITS", most_bits)
+    counts = {f"v{i}": 20 + i % 3 for i in range(900)} | {f"rare{i}": 1 for i in range(2000)}
+    data = spark.createDataFrame([(v,) for v, n in counts.items() for _ in range(n)], "v string").repartition(4, F.rand(1))
+    share = 21 / sum(counts.values())
+    found = frequent.frequent_values(data, F.col("v"), share).collect()
+    assert {r["item"]: r["n_rows"] for r in found} == {v: n for v, n in counts.items() if n >= 21}
+    assert all(r["lower_bound"] <= r["n_rows"] <= r["upper_bound"] for r in found)
+
+
 def test_sketches_merge(spark):
     hashed = spark.range(3000).select(F.xxhash64(F.col("id") % 7).alias("h"))
     whole = frequent.sketch(hashed.coalesce(1), 4)

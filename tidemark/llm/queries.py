@@ -74,6 +74,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).where("runs_dry").select("source")
 
 
+def p9_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The report with sizes in characters, but for the shares of sources that do not run dry, which depend on the shuffle."""
+    sized = mixing.sized_documents(table(spark, d, "documents"), size=F.length("text"))
+    report = mixing.mixture_report(sized, table(spark, d, "mix_targets"))
+    return report.select("source", "target_share", "max_repeats", "size", "available", "runs_dry", F.when(F.col("runs_dry"), F.col("actual_tokens")).alias("given_if_dry"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
@@ -86,7 +93,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_distinct_cube, p3_returning, p4_found, p4_counts, p8_found, p8_leaked_items, p9_found, p9_report, p9_mixture, p10_found, p10_residue)}
+QUERIES = {f.__name__: f for f in (p3_distinct_cube, p3_returning, p4_found, p4_counts, p8_found, p8_leaked_items, p9_found, p9_report, p9_characters, p9_mixture, p10_found, p10_residue)}
 
 
 def _user(column: str) -> str:
@@ -139,6 +146,11 @@ HAVING bool_or(day_utc BETWEEN '2014-10-01' AND '2014-10-07') AND bool_or(day_ut
     "p4_found": _frequent_sql(""),
     "p4_counts": _frequent_sql(", count(*) AS n_rows, true AS within_bounds"),
     "p8_found": _FOUND8,
+    "p9_characters": """WITH s AS (SELECT nullif(lower(trim(source)), '') AS source, length(text) AS n FROM documents),
+t AS (SELECT nullif(lower(trim(source)), '') AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY ALL),
+r AS (SELECT t.*, CAST(coalesce((SELECT sum(n) FROM s WHERE s.source = t.source), 0) AS BIGINT) AS size, (SELECT sum(n) FROM s) AS budget FROM t WHERE t.source IS NOT NULL),
+f AS (SELECT *, size * max_repeats AS available, size * max_repeats < target_share * coalesce(budget, 0) AS runs_dry FROM r)
+SELECT source, target_share, max_repeats, size, available, runs_dry, CASE WHEN runs_dry THEN available END AS given_if_dry FROM f""",
     "p9_found": """WITH s AS (SELECT nullif(lower(trim(source)), '') AS source, length(text) AS n FROM documents),
 t AS (SELECT nullif(lower(trim(source)), '') AS source, sum(target_share) AS share, max(max_repeats) AS repeats FROM mix_targets GROUP BY ALL)
 SELECT t.source FROM t WHERE t.source IS NOT NULL AND coalesce((SELECT sum(n) FROM s WHERE s.source = t.source), 0) * repeats < share * coalesce((SELECT sum(n) FROM s), 0)""",
