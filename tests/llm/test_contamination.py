@@ -79,6 +79,30 @@ def test_tiles(doc, item, least):
         assert sum(n for *_, n in tiles) == tiles_by_force(doc, item, least)
 
 
+@settings(max_examples=150)
+@given(st.lists(st.integers(0, 2), max_size=24), st.lists(st.integers(0, 2), max_size=24), st.integers(1, 4))
+def test_tiles_by_length_are_the_same(doc, item, least):
+    seeds = [(p, q) for p in range(len(doc) - least + 1) for q in range(len(item) - least + 1) if doc[p : p + least] == item[q : q + least]]
+    hashed = [np.array(x, np.uint64) * np.uint64(0x12345678DEADBEEF) for x in (doc, item)]
+    expected = c.greedy_tiles(np.array(seeds), least, len(doc), len(item)) if seeds else []
+    assert c.greedy_tiles_by_length(*hashed, least) == expected
+
+
+@pytest.mark.parametrize("phrase", [["same"], ["over", "and", "out"]])
+def test_repeated_words_take_memory_by_words(phrase):
+    """A repeated word or phrase: positions where seeds meet are the product of both lengths, and are not listed."""
+    import tracemalloc
+
+    item, doc = (phrase * n for n in (3_000 // len(phrase), 60_000 // len(phrase)))
+    index = c.ItemIndex([(1, " ".join(item)), (2, " ".join(item[:40]))], 13)
+    data, offsets = buffer_of([" ".join(doc), "nothing here"])
+    tracemalloc.start()
+    found = list(index.tile(data, offsets))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 1, len(item), len(item), len(item)), (0, 1, 1, 40, 40, 40)] and peak < 60_000_000
+
+
 def words(rng, n):
     return [rng.choice(["alpha", "beta", "gamma", "delta", "x1", "y2"]) + str(rng.randrange(40)) for _ in range(n)]
 

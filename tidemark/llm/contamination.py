@@ -8,6 +8,11 @@ pair with shared seeds is tiled: the longest match is marked, then the longest
 among what is left, until nothing of ``least`` words remains.  Marked words
 belong to one tile, so passages in another order add up to the coverage of the
 item.  Tiles are compared word for word; a hash alone decides nothing.
+
+Matches are chained from the positions of shared seeds where those are few.
+Where words repeat, so that seeds meet at many more positions than there are words,
+the longest match is found by hashing all unmarked runs of one length at a time,
+its length by bisection: memory then grows with the words and not with their pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ BLOCK_CHARS = 4_000_000
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 1_000_000
 
+#: Positions where seeds meet, for each word of both texts, up to which they are listed.
+PAIRS_A_WORD = 4
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -141,6 +149,52 @@ def greedy_tiles(seeds: np.ndarray, least: int, doc_words: int, item_words: int)
     return tiles
 
 
+def _free_runs(marked: np.ndarray, length: int) -> np.ndarray:
+    """Where runs of ``length`` unmarked words begin."""
+    before = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(before[length:] == before[:-length])
+
+
+def greedy_tiles_by_length(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``greedy_tiles`` from the word hashes of both sides, without listing the positions where seeds meet."""
+    in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    tiles: list[tuple[int, int, int]] = []
+
+    def shared(length: int) -> tuple[int, int] | None:
+        """The first place in the document, and then in the item, of an unmarked run that both have."""
+        one, two = _free_runs(in_doc, length), _free_runs(in_item, length)
+        if not len(one) or not len(two):
+            return None
+        left, right = rolling(doc, length)[one], rolling(item, length)[two]
+        hit = np.flatnonzero(np.isin(left, right))
+        return (int(one[hit[0]]), int(two[np.flatnonzero(right == left[hit[0]])[0]])) if len(hit) else None
+
+    most = min(len(doc), len(item))
+    while most >= least:
+        low, high, found = least, most, None
+        while low <= high:  # a shared run has shared runs of every shorter length
+            middle = least if found is None and low == least else (low + high + 1) // 2
+            at = shared(middle)
+            if at is None:
+                high = middle - 1
+            else:
+                low, found = middle + 1, (*at, middle)
+        if found is None:
+            break
+        p, q, most = found
+        in_doc[p : p + most] = in_item[q : q + most] = True
+        tiles.append(found)
+    return tiles
+
+
+def _crossed(a_begin: np.ndarray, a_count: np.ndarray, b_begin: np.ndarray, b_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry all pairs of a member of its range of a and one of its range of b."""
+    size = a_count * b_count
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.repeat(b_count, size)
+    return np.repeat(a_begin, size) + within // wide, np.repeat(b_begin, size) + within % wide
+
+
 class ItemIndex:
     """Seeds of a block of test items."""
 
@@ -152,13 +206,18 @@ class ItemIndex:
         joined = b"".join(raw)
         data = np.frombuffer(joined, np.uint8)
         begin, end, hashed, owner = words_of(data, offsets)
+        self.hashed = hashed
         self.words = [joined[a:b] for a, b in zip(begin, end)]
         self.first = np.searchsorted(owner, np.arange(len(items) + 1))
         seeds = rolling(hashed, least)
         place = np.flatnonzero(owner[: len(seeds)] == owner[least - 1 : least - 1 + len(seeds)])
         order = place[np.argsort(seeds[place], kind="stable")]
-        self.seed, self.place = seeds[order], order
-        self.item = owner[order]
+        self.place = order
+        fresh = np.ones(len(order), bool)  # an entry per seed and item: where its places begin, and how many they are
+        fresh[1:] = (seeds[order][1:] != seeds[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        self.begin = np.flatnonzero(fresh)
+        self.count = np.diff(np.append(self.begin, len(order)))
+        self.seed, self.item = seeds[order][fresh], owner[order][fresh]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.seed & np.uint64((1 << 20) - 1)] = True
 
@@ -168,27 +227,30 @@ class ItemIndex:
         seeds = rolling(hashed, self.least)
         hit = np.flatnonzero(self.filter[seeds & np.uint64((1 << 20) - 1)])
         hit = hit[owner[hit] == owner[hit + self.least - 1]]
-        low = np.searchsorted(self.seed, seeds[hit], side="left")
-        many = np.searchsorted(self.seed, seeds[hit], side="right") - low
-        hit, low, many = hit[many > 0], low[many > 0], many[many > 0]
-        if not len(hit):
-            return
-        spread = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        position, text, item = np.repeat(hit, many), np.repeat(owner[hit], many), self.item[spread]
-        place = self.place[spread]
         first_word = np.searchsorted(owner, np.arange(len(offsets) + 1))
-        order = np.lexsort((position, item, text))
-        edges = np.flatnonzero(np.concatenate([[True], (np.diff(text[order]) != 0) | (np.diff(item[order]) != 0), [True]]))
         raw = data.tobytes()
-        for a, b in zip(edges[:-1], edges[1:]):
-            pick = order[a:b]
-            t, i = int(text[pick[0]]), int(item[pick[0]])
-            d0, i0 = int(first_word[t]), int(self.first[i])
-            n_doc, n_item = int(first_word[t + 1]) - d0, int(self.first[i + 1]) - i0
-            tiles = greedy_tiles(np.stack([position[pick] - d0, place[pick] - i0], axis=1), self.least, n_doc, n_item)
-            same = [n for p, q, n in tiles if [raw[begin[k] : end[k]] for k in range(d0 + p, d0 + p + n)] == self.words[i0 + q : i0 + q + n]]
-            if same:
-                yield t, i, len(same), max(same), sum(same), n_item
+        for t in np.unique(owner[hit]):
+            at = hit[np.searchsorted(owner[hit], t) : np.searchsorted(owner[hit], t, side="right")]
+            d0, n_doc = int(first_word[t]), int(first_word[t + 1] - first_word[t])
+            at = at[np.argsort(seeds[at], kind="stable")]
+            seed, begin_at, count = np.unique(seeds[at], return_index=True, return_counts=True)
+            low = np.searchsorted(self.seed, seed, side="left")
+            which, entry = _crossed(np.arange(len(seed)), np.ones(len(seed), np.int64), low, np.searchsorted(self.seed, seed, side="right") - low)
+            order = np.argsort(self.item[entry], kind="stable")
+            which, entry = which[order], entry[order]
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(self.item[entry]) != 0, [True]])) if len(entry) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                mine, seeds_of = entry[a:b], which[a:b]
+                i = int(self.item[mine[0]])
+                i0, n_item = int(self.first[i]), int(self.first[i + 1] - self.first[i])
+                if (count[seeds_of] * self.count[mine]).sum() <= PAIRS_A_WORD * (n_doc + n_item):
+                    here, there = _crossed(begin_at[seeds_of], count[seeds_of], self.begin[mine], self.count[mine])
+                    tiles = greedy_tiles(np.stack([at[here] - d0, self.place[there] - i0], axis=1), self.least, n_doc, n_item)
+                else:
+                    tiles = greedy_tiles_by_length(hashed[d0 : d0 + n_doc], self.hashed[i0 : i0 + n_item], self.least)
+                same = [n for p, q, n in tiles if [raw[begin[k] : end[k]] for k in range(d0 + p, d0 + p + n)] == self.words[i0 + q : i0 + q + n]]
+                if same:
+                    yield int(t), i, len(same), max(same), sum(same), n_item
 
 
 def _kernel(index):
