@@ -26,7 +26,9 @@ def rows_of(seed=1, n=500):
     return rows + rows[:50]
 
 
-def test_cube_is_exact(spark):
+@pytest.mark.parametrize("at_once", [500_000, 3])
+def test_cube_is_exact(spark, at_once, monkeypatch):
+    monkeypatch.setattr(distinct, "CELLS_AT_ONCE", at_once)
     rows = rows_of()
     members = distinct.membership(spark.createDataFrame(rows, SCHEMA), F.col("uid"), columns())
     found = {tuple(r)[:4]: (r["n_distinct"], r["error_bound"]) for r in distinct.distinct_cube(distinct.pattern_totals(members), list(GROUPS)).collect()}
@@ -51,6 +53,20 @@ def test_partial_results_merge(spark):
     assert both == {str(r["cells"]): r["n"] for r in distinct.pattern_totals(merged).collect()}
 
 
+def test_sketches_of_cells_merge_and_bound_the_error(spark):
+    """Small cells are exact; large ones lie within the bound; merging parts gives what the whole gives."""
+    rows = rows_of(6, 800) + [(f"u{i % 30_000}", "d1" if i % 3 else "d2", "FR", None, "x", 1, 2) for i in range(40_000)]
+    data = spark.createDataFrame(rows, SCHEMA).repartition(4, F.rand(3))
+    whole = distinct.cell_sketches(data, F.col("uid"), columns())
+    parts = distinct.merge_cell_sketches(*(distinct.cell_sketches(data.where(c), F.col("uid"), columns()) for c in (F.col("uid") < "u2", F.col("uid") >= "u1", F.col("day").isNull())))
+    exact = {tuple(r)[:4]: r["n_distinct"] for r in distinct.distinct_cube(distinct.pattern_totals(distinct.membership(data, F.col("uid"), columns())), list(GROUPS)).collect()}
+    for cells in (whole, parts):
+        found = {tuple(r)[:4]: r for r in distinct.estimated_cube(cells).collect()}
+        assert set(found) == set(exact)
+        assert all(abs(found[k]["n_distinct"] - n) <= found[k]["error_bound"] for k, n in exact.items()) and max(exact.values()) > 29_000
+    assert distinct.estimated_cube(distinct.cell_sketches(data.limit(0), F.col("uid"), columns())).collect() == []
+
+
 def test_any_combination(spark):
     rows = rows_of(3, 60)
     patterns = distinct.pattern_totals(distinct.membership(spark.createDataFrame(rows, SCHEMA), F.col("uid"), columns()))

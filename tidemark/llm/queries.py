@@ -36,6 +36,18 @@ def p3_returning(spark: SparkSession, d: str) -> DataFrame:
     return distinct.count_matching(_patterns(spark, d), all_of=both, none_of=[lambda cell: cell["country_code"] == "GB"])
 
 
+def p3_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Per level how many groups sketches give, and whether at least 95 % of them lie within the bound of the exact counts."""
+    rows, user = table(spark, d, "event_log"), reading.user_id(F.col("user_uid"))
+    groups = {"day_utc": reading.day_text(reading.instant_us(F.col("timestamp"))), "country_code": _country("country_code")}
+    exact = distinct.distinct_cube(distinct.pattern_totals(distinct.membership(rows, user, groups)), list(groups))
+    estimated = distinct.estimated_cube(distinct.cell_sketches(rows, user, groups))
+    same = [exact[n].eqNullSafe(estimated[n]) for n in ("level", *groups)]
+    within = F.abs(exact["n_distinct"] - estimated["n_distinct"]) <= estimated["error_bound"]
+    both = exact.join(estimated, same).select(exact["level"].alias("level"), within.alias("within"))
+    return both.groupBy("level").agg(F.count(F.lit(1)).alias("n_groups"), (F.count_if("within") >= 0.95 * F.count(F.lit(1))).alias("within_bound"))
+
+
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, field in FREQUENT:
@@ -93,7 +105,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_residue(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_distinct_cube, p3_returning, p4_found, p4_counts, p8_found, p8_leaked_items, p9_found, p9_report, p9_characters, p9_mixture, p10_found, p10_residue)}
+QUERIES = {f.__name__: f for f in (p3_distinct_cube, p3_returning, p3_sketched, p4_found, p4_counts, p8_found, p8_leaked_items, p9_found, p9_report, p9_characters, p9_mixture, p10_found, p10_residue)}
 
 
 def _user(column: str) -> str:
@@ -117,6 +129,15 @@ def _cube_sql() -> str:
     return f"WITH c AS ({_CELLS}) " + " UNION ALL ".join(parts)
 
 
+def _sketched_sql() -> str:
+    parts = []
+    for level, used in enumerate(((), ("country_code",), ("day_utc",), ("day_utc", "country_code"))):
+        known = " AND ".join(f"{g} IS NOT NULL" for g in used) or "true"
+        fields = ", ".join(used) or "1"
+        parts.append(f"SELECT {level} AS level, count(*) AS n_groups, true AS within_bound FROM (SELECT DISTINCT {fields} FROM c WHERE {known}) HAVING count(*) > 0")
+    return f"WITH c AS ({_CELLS}) " + " UNION ALL ".join(parts)
+
+
 _HAS_VALUE = "trim({f}, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
 
 
@@ -141,6 +162,7 @@ _FOUND8 = f"SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM ({_runs_sql('do
 
 SQL = {
     "p3_distinct_cube": _cube_sql(),
+    "p3_sketched": _sketched_sql(),
     "p3_returning": f"""WITH c AS ({_CELLS}) SELECT count(*) AS n_distinct FROM (SELECT uid FROM c GROUP BY uid
 HAVING bool_or(day_utc BETWEEN '2014-10-01' AND '2014-10-07') AND bool_or(day_utc BETWEEN '2014-11-24' AND '2014-11-30') AND NOT coalesce(bool_or(country_code = 'GB'), false))""",
     "p4_found": _frequent_sql(""),
