@@ -190,6 +190,32 @@ def test_per_key_totals(spark, at_once, monkeypatch):
     assert heavy == {k for k, v in expected.items() if k and len(v) >= 0.15 * len(rows)} and heavy
 
 
+def test_blocks_are_folded_as_they_arrive(monkeypatch):
+    """Many parts of one block with the same keys never lie side by side, and distinct keys are held once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(skew, "ROWS_AT_ONCE", 5_000)
+    lists = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
+
+    def parts():
+        for i in range(400):
+            keys = [f"k{i % 3}-{j}" for j in range(1_000)]
+            numbers = [lists([x] * 1_000, pa.int64()) for x in (1, 1, i, i)]
+            yield pa.RecordBatch.from_arrays([pa.array([7], pa.int32()), lists(keys, pa.string()), *numbers], names=["block", "keys", "n", "timed", "first", "last"])
+
+    before = pa.total_allocated_bytes()
+    most = []
+
+    def watched():
+        for part in parts():
+            most.append(pa.total_allocated_bytes() - before)
+            yield part
+
+    rows = [r for batch in skew._sum_blocks(watched()) for r in batch.to_pylist()]
+    assert len(rows) == 3_000 and all(r["n_rows"] in (133, 134) and r["first_ms"] < 3 and r["last_ms"] > 396 for r in rows)
+    assert max(most) < 3_000_000  # all parts are some 20 MB
+
+
 PARENTS = [("a", 100, False), ("a", 50, None), ("b", 10, False), ("b", 40, True), ("b", 60, True), ("c", None, False), (None, 5, False), ("hot", 500, False)]
 REFERENCES = [("a", 49), ("a", 50), ("a", 51), ("b", 9), ("b", 39), ("b", 40), ("b", 41), ("c", 7), ("d", 7), ("d", 7), (None, 7), ("a", None), *(("hot", t) for t in range(400, 600))]
 

@@ -38,18 +38,22 @@ class KeyedFrame:
     order_types: tuple[FieldType, ...] | None
     #: A frame of keys only with as many rows, where that is cheaper to count.
     keys: DataFrame | None = None
-    #: Whether the rows come from a table bucketed by key.
-    placed: bool = False
+    #: Buckets by key of the table that the rows come from; 0 if it has none.
+    placed: int = 0
+    #: Keys that would fill a bucket of that table.
+    hot: tuple = ()
+    #: Columns that the parts of ``__order`` stand for, where the rows are those of a table.
+    order_names: tuple[str, ...] = ()
 
     @classmethod
-    def table(cls, frame: DataFrame, fields: Iterable[Field] | None = None, placed: bool = False) -> "KeyedFrame":
+    def table(cls, frame: DataFrame, fields: Iterable[Field] | None = None, placed: int = 0, hot: tuple = ()) -> "KeyedFrame":
         """A table scan; the key is the first column."""
         fields = tuple(fields) if fields else tuple(Field(f.name, of_spark(f.dataType)) for f in frame.schema.fields)
         if any(f.name.startswith("__") for f in fields):
             raise QueryError("Names that begin with two underscores are reserved")
         order = F.struct(*(f.type.sort_part(_quoted(f.name)).alias(f"o{i}") for i, f in enumerate(fields)))
         rows = frame.select(*(_quoted(f.name) for f in fields), _quoted(fields[0].name).alias(KEY), order.alias(ORDER))
-        return cls(rows, fields, fields[0].type, fields[0].name, tuple(f.type for f in fields), placed=placed)
+        return cls(rows, fields, fields[0].type, fields[0].name, tuple(f.type for f in fields), placed=placed, hot=hot, order_names=tuple(f.name for f in fields))
 
     @property
     def names(self) -> list[str]:
@@ -91,19 +95,26 @@ class KeyedFrame:
         window.  Where the left shows nothing but its key, its keys suffice.
         """
         self._check_key(right)
-        placed = self.placed and right.placed
-        matched = match_unique(right.rows, self._keys(), KEY, "left_semi", placed)
+        placed = 0 < self.placed == right.placed
+        matched = match_unique(right.rows, self._keys(), KEY, "left_semi", placed, right.hot)
         shown = [f for f in self.fields if f.name != self.key_field]
         fields = (*self.fields, *(f for f in right.fields if f.name not in self.names))
         if shown:
             payload = F.struct(*(_quoted(f.name) for f in shown))
-            first = self.rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.min(F.struct(ORDER, payload.alias("payload"))).alias("__first"))
-            rows = match_unique(right.rows, first.select(KEY, F.col("__first.payload").alias("__left")), KEY, "inner", placed)
+            first = self.rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.min(F.struct(self._order_of(shown), payload.alias("payload"))).alias("__first"))
+            rows = match_unique(right.rows, first.select(KEY, F.col("__first.payload").alias("__left")), KEY, "inner", placed, right.hot)
         else:
             rows = matched
         left = {f.name: _quoted(KEY) if f.name == self.key_field else F.col("__left")[f.name] for f in self.fields}
         columns = [left.get(f.name, _quoted(f.name)).alias(f.name) for f in fields]
-        return KeyedFrame(rows.select(*columns, KEY, ORDER), fields, self.key_type, self.key_field, right.order_types, matched.select(KEY), placed)
+        return KeyedFrame(rows.select(*columns, KEY, ORDER), fields, self.key_type, self.key_field, right.order_types, matched.select(KEY), right.placed if placed and not right.hot else 0)
+
+    def _order_of(self, shown: list[Field]) -> Column:
+        """``__order`` as far as it tells rows of unlike ``shown`` cells apart: columns of a table behind the last one shown are not read."""
+        if not self.order_names:
+            return F.col(ORDER)
+        last = max(self.order_names.index(f.name) for f in shown)
+        return F.struct(*(F.col(ORDER)[f"o{i}"].alias(f"o{i}") for i in range(last + 1))).alias(ORDER)
 
     def _united(self, right: "KeyedFrame") -> tuple[Field, ...]:
         known = {f.name: f for f in self.fields}
@@ -129,9 +140,9 @@ class KeyedFrame:
     def intersection(self, right: "KeyedFrame") -> "KeyedFrame":
         """All rows, of both sides, whose key is on both sides."""
         self._check_key(right)
-        placed = self.placed and right.placed
-        left_rows = match_unique(self.rows, right._keys(), KEY, "left_semi", placed)
-        right_rows = match_unique(right.rows, self._keys(), KEY, "left_semi", placed)
+        placed = 0 < self.placed == right.placed
+        left_rows = match_unique(self.rows, right._keys(), KEY, "left_semi", placed, self.hot)
+        right_rows = match_unique(right.rows, self._keys(), KEY, "left_semi", placed, right.hot)
         return replace(self, rows=left_rows, keys=None).union(replace(right, rows=right_rows, keys=None))
 
     def output(self, ordered: bool = False, descending: bool = False) -> DataFrame:

@@ -18,8 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.spread import planned_bytes
+
 #: Rows of a split reduced at once; bounds a worker's memory.
 ROWS_AT_ONCE = 400_000
+#: Bytes of input for each block of keys; a block holds no more keys than so much input has.
+BLOCK_BYTES = 32_000_000
 _LATE, _EARLY = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 BLOCKS = "block int, keys array<string>, n array<long>, timed array<long>, first array<long>, last array<long>"
 PER_KEY = "key string, n_rows long, n_timed long, first_ms long, last_ms long"
@@ -76,18 +80,34 @@ def _split_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the blocks of a partition sorted by block; one block is held at a time."""
-
-    def total(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        flat = [pa.concat_arrays([p.column(i).flatten() for p in parts]) for i in range(1, 6)]
-        codes, dictionary = _encode(flat[0])
-        n, timed, first, last = (x.to_numpy() for x in flat[1:])
-        n, timed, first, last = _accumulate(codes, len(dictionary), n, timed, first, last)
-        never = timed == 0
-        columns = [dictionary, pa.array(n), pa.array(timed), pa.array(first, mask=never), pa.array(last, mask=never)]
+    """Sums the blocks of a partition sorted by block; of one block at a time, its keys once and a bounded number of parts are held."""
+
+    class Block:
+        def __init__(self) -> None:
+            self.parts: list[list[pa.Array]] = []
+            self.waiting = self.known = 0
+
+        def append(self, part: pa.RecordBatch) -> None:
+            self.parts.append([part.column(i).flatten() for i in range(1, 6)])
+            self.waiting += len(self.parts[-1][0])
+            if self.waiting > max(ROWS_AT_ONCE, self.known):  # so each key is folded a bounded number of times
+                self.fold()
+
+        def fold(self) -> list[pa.Array]:
+            flat = [pa.concat_arrays(column) for column in zip(*self.parts)]
+            codes, dictionary = _encode(flat[0])
+            sums = _accumulate(codes, len(dictionary), *(x.to_numpy() for x in flat[1:]))
+            self.parts = [[dictionary, *(pa.array(x) for x in sums)]]
+            self.waiting, self.known = 0, len(dictionary)
+            return self.parts[0]
+
+    def total(block: Block) -> pa.RecordBatch:
+        keys, n, timed, first, last = block.fold()
+        never = timed.to_numpy() == 0
+        columns = [keys, n, timed, *(pa.array(x.to_numpy(), mask=never) for x in (first, last))]
         return pa.RecordBatch.from_arrays(columns, names=["key", "n_rows", "n_timed", "first_ms", "last_ms"])
 
-    held: list[pa.RecordBatch] = []
+    held: Block | None = None
     current = None
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -96,13 +116,14 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for end in edges:
             if end == begin:
                 continue
-            if held and ids[begin] != current:
+            if held is not None and ids[begin] != current:
                 yield total(held)
-                held = []
+                held = None
             current = ids[begin]
+            held = held or Block()
             held.append(batch.slice(begin, end - begin))
             begin = end
-    if held:
+    if held is not None:
         yield total(held)
 
 
@@ -113,8 +134,10 @@ def per_key_totals(rows: DataFrame, key: Column, ms: Column) -> DataFrame:
     are summed under the null key, so that the rows of all keys add up to the
     table; ``n_timed`` counts rows whose ``ms`` is not null, ``first_ms`` and
     ``last_ms`` are null where there are none.  An empty table gives no rows.
+    There is a block for each task of a shuffle, and for each BLOCK_BYTES of
+    input by the planner's estimate; the number changes no result.
     """
-    n_blocks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_blocks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(planned_bytes(rows) // BLOCK_BYTES, 2**31 - 1))
     read = rows.select(key.cast("string").alias("key"), ms.cast("long").alias("ms"))
     placed = read.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
     blocks = placed.mapInArrow(_split_kernel, BLOCKS)
@@ -124,5 +147,5 @@ def per_key_totals(rows: DataFrame, key: Column, ms: Column) -> DataFrame:
 def heavy_keys(rows: DataFrame, key: Column, ms: Column, share: float) -> DataFrame:
     """The keys of ``per_key_totals`` that hold at least ``share`` of all rows, keyless rows counted in the whole."""
     totals = per_key_totals(rows, key, ms)
-    whole = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = totals.agg(F.sum("n_rows")).scalar()  # of the same reduction: its exchange is reused
     return totals.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * whole))
