@@ -12,7 +12,7 @@ NIL = "00000000-0000-0000-0000-000000000000"
 
 
 def user(i: int) -> str:
-    return f"{i:08x}-a29e-42c3-a3d9-12d32850e103"
+    return f"{i:08x}-7d31-4c11-8a55-00c0a51de5ed"
 
 
 def spelled(rng: random.Random, uid: str) -> str:

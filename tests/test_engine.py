@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.library import SCHEMAS, TABLES, expected, lines, reader
 from tidemark.errors import QueryError
 from tidemark.functions.codecs import parse_schema
 from tidemark.operators import spread
@@ -11,111 +12,100 @@ from tidemark.plans.lower import Options
 from tidemark.session import Engine
 from tidemark.sources.ingest import line_records, typed
 
-U = {
-    "U1": "37b22cfb-a29e-42c3-a3d9-12d32850e103", "U2": "a7b22cfb-a29e-42c3-a3d9-12d32850e103", "U3": "12322cfb-a29e-42c3-a3d9-12d32850e103",
-    "U4": "17b22cfb-a29e-42c3-a3d9-12d32850e103", "U5": "a7b22cfb-a29e-42c3-a3d9-12d32850e234", "U6": "89777987-a29e-42c3-a3d9-12d32850e234",
-}
-SHORT = {v: k for k, v in U.items()}
-TABLES = {
-    "pageviews": ("user_uid(UUID),url(STRING),timestamp(TIME)", ["U1|www.auto.com/mycar|2014-10-10 11:59:01", "U1|www.travel.com/offers|2014-10-10 12:01:02", "U1|www.travel.com/offers/holiday|2014-10-10 12:01:03", "U3|www.xyz.com|2014-10-10 12:01:02", "U2|www.bank.com/myaccunt|2014-10-10 13:59:01", "U2|www.travel.com/offers|2014-10-10 13:01:03"]),
-    "conversions": ("user_uid(UUID),conversion(STRING),url(STRING),timestamp(TIME)", ["U1|check|www.bank.com/myaccunt|2014-10-10 13:59:01", "U1|buy|www.travel.com/offers/holiday/book|2014-10-10 13:01:03"]),
-    "flags": ("user_uid(UUID),flag(STRING),value(BOOL)", ["U1|quizzed|true", "U1|cc|true", "U1|opt_out_targetting|true", "U2|cc|true", "U2|quizzed|false"]),
-    "psyncs": ("at_id(STRING),user_uid(UUID)", ["AT1234|U1", "AT5656|U5", "AT7888|U6"]),
-    "pviews": ("at_id(STRING),url(STRING),timestamp(TIME)", ["AT1234|www.tv.com|2014-10-10 13:59:01", "AT5656|www.auto.com|2014-10-10 14:00:01", "AT1234|www.auto.com/offers|2014-10-10 15:00:01", "AT1234|www.travel.com|2014-10-10 16:00:01", "AT5656|www.marvel.com|2014-10-10 17:00:01", "AT1234|www.bank.com|2014-10-10 18:00:01"]),
-    "events": ("user_uid(UUID),column(STRING),value(STRING)", ["U1|pageview|{www.auto.com}", "U4|partner_id|AT1234", "U2|pageview|{www.travel.com}", "U1|pageview|{www.ebay.com}", "U2|partner_id|AT9876", "U4|pageview|{www.music.com}"]),
-    "tiny": ("a(STRING),b(INT)", ["Hello|101", "World|99"]),
-    "none": ("a(STRING),b(INT)", []),
-}
-
-
-def long(text):
-    return "|".join(U.get(cell, cell) for cell in text.split("|"))
-
-
-def short(lines):
-    return ["|".join(SHORT.get(cell, cell) for cell in line.split("|")) for line in lines]
+JOINED = "select reader from v.cards join select branch,at from v.visits"
+TRAINING = (
+    "select reader from v.notices where wanted='true' and topic='overdue' or topic='talks' join (select reader,title,due from v.loans where title contains 'b' "
+    "union select reader,title,due,shelf from v.returns)"
+)
+BOTH = "select reader,title,due from v.loans where reader not = '" + reader(2) + "' {} select reader,title,due,shelf from v.returns"
+STATEMENTS = [
+    JOINED,
+    JOINED + " where at > '2016-02-10 00:00:00'",
+    "select topic,reader from v.notices join select title from v.loans",
+    "select reader,topic from v.notices",
+    "select reader,wanted from v.notices where topic='talks'",
+    "select * from v.stock where title contains 'a'",
+    "select * from v.stock where title contains ''",
+    "select copies,*,copies from v.stock",
+    "select * from v.bare",
+    "select copies from (select * from v.stock where copies > 5) where title='bread'",
+    "select title from v.bare join select * from v.stock",
+    BOTH.format("union"),
+    BOTH.format("intersection"),
+    TRAINING,
+]
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
     made = Engine(spark, buckets=3)
-    for name, (schema, rows) in TABLES.items():
+    for name, schema in SCHEMAS.items():
         fields = parse_schema(schema)
-        lines = spark.createDataFrame([(long(r),) for r in rows], "value string")
-        made.register(f"v.{name}", typed(line_records(lines, "|"), fields).rows, fields)
+        text = spark.createDataFrame([(line,) for line in lines(name)], "value string")
+        made.register(f"v.{name}", typed(line_records(text, "|"), fields).rows, fields)
     return made
 
 
 def run(engine, statement, ordered=True):
-    found = short(engine.sql(statement).lines("|", ordered))
+    found = list(engine.sql(statement).lines("|", ordered))
     return found if ordered else sorted(found)
 
 
-JOINED = "select user_uid from v.psyncs join select url,timestamp from v.pviews"
-USECASE1 = (
-    "select user_uid from v.flags where value='true' and flag='quizzed' or flag='cc' join (select user_uid,url,timestamp from v.pageviews where url contains 'travel.com' "
-    "union select user_uid,url,timestamp,conversion from v.conversions)"
-)
-BOTH = "select user_uid,url,timestamp from v.pageviews where user_uid not = '12322cfb-a29e-42c3-a3d9-12d32850e103' {} select user_uid,url,timestamp,conversion from v.conversions"
-
-
-def test_keyed_join(engine):
-    assert run(engine, JOINED) == ["U1|www.tv.com|2014-10-10 13:59:01", "U1|www.bank.com|2014-10-10 18:00:01", "U1|www.travel.com|2014-10-10 16:00:01", "U1|www.auto.com/offers|2014-10-10 15:00:01", "U5|www.auto.com|2014-10-10 14:00:01", "U5|www.marvel.com|2014-10-10 17:00:01"]
-    assert run(engine, JOINED + " where timestamp > '2014-10-10 16:00:00'") == ["U1|www.bank.com|2014-10-10 18:00:01", "U1|www.travel.com|2014-10-10 16:00:01", "U5|www.marvel.com|2014-10-10 17:00:01"]
-    assert engine.sql(f"count ({JOINED})").count == 6
-
+@pytest.mark.parametrize("statement", STATEMENTS)
+def test_statements_give_what_the_model_gives_in_order(engine, statement):
+    rows = expected(statement)
+    assert run(engine, statement) == rows
+    assert engine.sql(f"count ({statement})").count == len(rows)
 
-def test_scan_and_filter(engine):
-    assert run(engine, "select user_uid,column from v.events") == ["U4|pageview", "U4|partner_id", "U1|pageview", "U1|pageview", "U2|pageview", "U2|partner_id"]
-    assert run(engine, "select user_uid,value from v.events where column='pageview'") == ["U4|{www.music.com}", "U1|{www.auto.com}", "U1|{www.ebay.com}", "U2|{www.travel.com}"]
-    assert run(engine, "select * from v.tiny where a contains 'W'") == ["World|99"]
-    assert engine.sql("count v.tiny").count == 2
-    assert run(engine, "select * from v.tiny where a contains ''") == []
-    assert run(engine, "select b,*,b from v.tiny") == ["101|Hello", "99|World"]
 
-
-def test_union_and_intersection(engine):
-    ones = ["U1|www.auto.com/mycar|2014-10-10 11:59:01|\0", "U1|www.travel.com/offers|2014-10-10 12:01:02|\0", "U1|www.travel.com/offers/holiday|2014-10-10 12:01:03|\0"]
-    converted = ["U1|www.travel.com/offers/holiday/book|2014-10-10 13:01:03|buy", "U1|www.bank.com/myaccunt|2014-10-10 13:59:01|check"]
-    twos = ["U2|www.bank.com/myaccunt|2014-10-10 13:59:01|\0", "U2|www.travel.com/offers|2014-10-10 13:01:03|\0"]
-    union = run(engine, BOTH.format("union"))
-    assert union[:5] == ones + converted and sorted(union[5:]) == sorted(twos)
-    assert run(engine, BOTH.format("intersection")) == ones + converted
-    assert engine.sql(f"count ({BOTH.format('union')})").count == 7 and engine.sql(f"count ({BOTH.format('intersection')})").count == 5
+def test_the_cases_are_not_hollow():
+    sizes = {s: len(expected(s)) for s in STATEMENTS}
+    assert all((n > 1) is not ("bare" in s or "contains ''" in s or "title='bread'" in s) for s, n in sizes.items())
+    assert len(expected(BOTH.format("union"))) > len(expected(BOTH.format("intersection")))
 
 
 @pytest.mark.parametrize("threshold", ["10m", "-1"])  # beyond the threshold hot keys are salted
-def test_usecase1(spark, engine, threshold):
+def test_training_set_by_broadcast_and_by_salts(spark, engine, threshold):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        assert run(engine, USECASE1, False) == sorted(
-            ["U1|www.travel.com/offers|2014-10-10 12:01:02|\0", "U1|www.travel.com/offers/holiday|2014-10-10 12:01:03|\0", "U1|www.travel.com/offers/holiday/book|2014-10-10 13:01:03|buy", "U1|www.bank.com/myaccunt|2014-10-10 13:59:01|check", "U2|www.travel.com/offers|2014-10-10 13:01:03|\0"]
-        )
-        assert engine.sql(f"count ({USECASE1})").count == 5
-        first = run(engine, "select flag,user_uid from v.flags join select url from v.pageviews", False)
-        assert first == sorted(["cc|U1|www.auto.com/mycar", "cc|U1|www.travel.com/offers", "cc|U1|www.travel.com/offers/holiday", "cc|U2|www.bank.com/myaccunt", "cc|U2|www.travel.com/offers"])
+        for statement in (TRAINING, "select topic,reader from v.notices join select title from v.loans"):
+            assert run(engine, statement, False) == sorted(expected(statement))
+            assert engine.sql(f"count ({statement})").count == len(expected(statement))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_counts_of_every_frame(engine):
-    assert engine.sql("count (select a from v.tiny) where a='Hello'").count == 1
-    assert engine.sql("count v.tiny where b < 100").count == 1
-    assert engine.sql("count (select a from v.none join select * from v.tiny)").count == 0
-    assert run(engine, "select * from v.none") == []
-    assert run(engine, "select b from (select * from v.tiny where b > 5) where a='World'") == ["99"]
+    assert engine.sql("count (select title from v.stock) where title='knots'").count == 1
+    assert engine.sql("count v.stock where copies < 10").count == 3
+    assert engine.sql("count v.stock").count == 7
 
 
 def test_errors(engine):
-    for bad in ("select z from v.tiny", "select a from v.tiny where z=1", "select a from v.nowhere", "select a from v.tiny join select user_uid from v.flags join select b from v.none where b contains", "count v.nowhere",
-                "select a,b from v.tiny union select user_uid from v.flags union select b from v.zzz", "describe v.nowhere", "drop v.nowhere"):
+    for bad in ("select z from v.stock", "select title from v.stock where z=1", "select title from v.nowhere", "select title from v.stock join select reader from v.notices join select copies from v.bare where copies contains", "count v.nowhere",
+                "select title,copies from v.stock union select reader from v.notices union select copies from v.zzz", "describe v.nowhere", "drop v.nowhere"):
         with pytest.raises(QueryError):
             engine.sql(bad)
     with pytest.raises(QueryError):  # the types of a shared column differ
-        engine.frame("select a,b from v.tiny").union(KeyedFrame.table(engine.spark.createDataFrame([("x", "y")], "a string, b string")))
+        engine.frame("select title,copies from v.stock").union(KeyedFrame.table(engine.spark.createDataFrame([("x", "y")], "title string, copies string")))
     with pytest.raises(QueryError):  # the keys' types differ
-        engine.frame("select a from v.tiny").join(KeyedFrame.table(engine.spark.createDataFrame([(1,)], "k long")))
+        engine.frame("select title from v.stock").join(KeyedFrame.table(engine.spark.createDataFrame([(1,)], "k long")))
+
+
+def test_literals_are_values_of_their_column(spark):
+    made = Engine(spark)
+    made.register("n.t", spark.createDataFrame([(-3, -0.5), (5, 2.25)], "v long, x double"))
+    made.register("n.u", spark.createDataFrame([(1,)], "u int").selectExpr("'00000000-0000-0000-0000-000000000000' u", "1L ip", "timestamp_seconds(1) t", "1 i"), parse_schema("u(UUID),ip(IPV4),t(TIME),i(INT)"))
+    assert made.sql("count n.t where v > -5").count == 2 and made.sql("count n.t where v < -2").count == 1 and made.sql("count n.t where x > '-0.75'").count == 2
+    assert made.sql("count n.t where v in (-3, 4)").count == 1 and made.sql("count n.t where v contains '-'").count == 1
+    for bad in ("v > 'abc'", "v not = 'abc'", "v in (1, 'x')", "v = 9223372036854775808", "x < 'low'"):
+        with pytest.raises(QueryError):
+            made.df(f"count n.t where {bad}")
+    for bad in ("u = 'nobody'", "ip = '1.2.3'", "ip = '1.2.3.256'", "t > '2014-13-01 00:00:00'", "t > 'soon'", "i = 2147483648", "i = '1.5'"):
+        with pytest.raises(QueryError):
+            made.df(f"count n.u where {bad}")
+    assert made.sql("count n.u where t > 0 and i > -1").count == 1
 
 
 def test_null_keys_repeats_and_clashing_names(spark):
@@ -177,13 +167,29 @@ def test_spread_keeps_rows(spark, monkeypatch):
 
 
 def test_grouped_and_text(engine):
-    grouped = {r["key"]: (r["n"], r["url"]) for r in engine.frame("select url from v.pviews").grouped(F.max("url").alias("url")).collect()}
-    assert grouped == {"AT5656": (2, "www.marvel.com"), "AT1234": (4, "www.tv.com")}
-    assert [r for r in engine.sql("select a,b from v.tiny").records()] == [["Hello", "101"], ["World", "99"]]
-    assert [r["a"] for r in engine.frame("select a from v.tiny").output(descending=True).collect()] == ["World", "Hello"]
+    grouped = {r["key"]: (r["n"], r["branch"]) for r in engine.frame("select branch from v.visits").grouped(F.max("branch").alias("branch")).collect()}
+    of = {}
+    for card, branch, _ in TABLES["visits"]:
+        of.setdefault(card, []).append(branch)
+    assert grouped == {card: (len(branches), max(branches)) for card, branches in of.items()}
+    by_length = sorted((title for title, _ in TABLES["stock"]), key=lambda t: (len(t), t))
+    assert [r[0] for r in engine.sql("select title,copies from v.stock").records()] == by_length
+    assert [r["title"] for r in engine.frame("select title from v.stock").output(descending=True).collect()] == by_length[::-1]
     assert [f.type.escape("x") for f in parse_schema("a,b(INT),c(UUID)")] == ["'x'", "x", "'x'"]
-    assert engine.frame("select b from v.tiny").counted().columns == ["count"]
-    assert engine.frame("select b from v.tiny").output(True).select(F.col("b").cast("string")).collect()[0][0] == "101"
+    assert engine.frame("select copies from v.stock").counted().columns == ["count"]
+
+
+def test_columns_behind_the_last_one_selected_are_not_read(spark, tmp_path):
+    """The first left row by all columns is also the first by those up to the last one shown."""
+    spark.createDataFrame([("k", 2, "b", "p"), ("k", 1, "z", "q"), ("k", 1, "z", "a"), ("j", 0, "y", "r")], "k string, n int, s string, rest string").write.parquet(str(tmp_path / "left"))
+    made = Engine(spark)
+    made.register("o.l", spark.read.parquet(str(tmp_path / "left")))
+    made.register("o.r", spark.createDataFrame([("k", 1), ("j", 2), ("j", 3)], "k string, m int"))
+    frame = made.df("select s from o.l join select m from o.r")
+    assert sorted(map(tuple, frame.collect())) == [("y", 2), ("y", 3), ("z", 1)]
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:string,n:int,s:string>" in plan and "rest" not in plan
+    assert sorted(map(tuple, made.df("select rest from o.l join select m from o.r").collect())) == [("a", 1), ("r", 2), ("r", 3)]
 
 
 def test_table_ref_text():

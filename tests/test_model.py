@@ -26,33 +26,33 @@ def shortlex(value):
     return (len(value), value) if isinstance(value, str) else (0, value)
 
 
-def holds(p, cells):
+def holds(p, cells, types=TYPES):
     if isinstance(p, Logic):
-        left, right = holds(p.left, cells), holds(p.right, cells)
+        left, right = holds(p.left, cells, types), holds(p.right, cells, types)
         if p.op == "AND":
             return False if False in (left, right) else None if None in (left, right) else True
         return True if True in (left, right) else None if None in (left, right) else False
     cell = cells.get(p.field)
     if cell is None:
         return None
-    values = [TYPES[p.field](v) for v in p.values]
+    values = [types[p.field](v) for v in p.values]
     found = {"=": lambda: cell == values[0], ">": lambda: shortlex(cell) > shortlex(values[0]), "<": lambda: shortlex(cell) < shortlex(values[0]), "IN": lambda: cell in values,
              "CONTAINS": lambda: str(p.values[0]) != "" and p.values[0] in str(cell)}[p.op]()
     return found is not p.negated
 
 
-def evaluate(node, tables):
+def evaluate(node, tables, schemas=SCHEMAS, types=TYPES):
     """(field names, rows) in the model."""
     if isinstance(node, Select):
         if isinstance(node.source, TableRef):
-            names = [f.name for f in parse_schema(SCHEMAS[node.source.name])]
+            names = [f.name for f in parse_schema(schemas[node.source.name])]
             found = [Row(r[0], tuple(map(shortlex, r)), dict(zip(names, r))) for r in tables[node.source.name]]
         else:
-            names, found = evaluate(node.source, tables)
-        found = [r for r in found if node.where is None or holds(node.where, r.cells) is True]
+            names, found = evaluate(node.source, tables, schemas, types)
+        found = [r for r in found if node.where is None or holds(node.where, r.cells, types) is True]
         wanted = list(dict.fromkeys([f for f in node.fields if f != "*"] + (names if "*" in node.fields else [])))
         return wanted, [Row(r.key, r.order, {n: r.cells.get(n) for n in wanted}) for r in found]
-    (left_names, left), (right_names, right) = evaluate(node.left, tables), evaluate(node.right, tables)
+    (left_names, left), (right_names, right) = evaluate(node.left, tables, schemas, types), evaluate(node.right, tables, schemas, types)
     names = left_names + [n for n in right_names if n not in left_names]
     if node.op == "JOIN":
         first = {}

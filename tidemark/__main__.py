@@ -8,7 +8,7 @@ import sys
 import time
 
 from tidemark.errors import QueryError
-from tidemark.session import Engine, Result, local_session
+from tidemark.session import Engine, Result, cluster_session, local_session
 
 
 def _print(result: Result, separator: str) -> None:
@@ -45,7 +45,9 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     parser.add_argument("--cores", default="*", help="threads of the local session")
     parser.add_argument("--warehouse", help="folder of the tables")
-    parser.add_argument("--buckets", type=int, default=8, help="buckets of new tables")
+    parser.add_argument("--master", help="the cluster to run on; a local session if missing")
+    parser.add_argument("--shared", help="with --master: a folder that all executors see")
+    parser.add_argument("--buckets", type=int, help="buckets of new tables")
     parser.add_argument("--separator", default="\t")
     commands = parser.add_subparsers(dest="command", required=True)
     query = commands.add_parser("query", help="run one statement and print its result")
@@ -58,7 +60,10 @@ def main(arguments: list[str] | None = None) -> int:
     load.add_argument("--layout", choices=("lines", "stream"))
     commands.add_parser("console", help="statements from the terminal")
     chosen = parser.parse_args(arguments)
-    engine = Engine(local_session(chosen.cores, chosen.warehouse), chosen.buckets)
+    if chosen.master and not chosen.shared:
+        parser.error("--master needs --shared")
+    session = cluster_session(chosen.master, chosen.shared, chosen.warehouse) if chosen.master else local_session(chosen.cores, chosen.warehouse)
+    engine = Engine(session, chosen.buckets)
     separator = chosen.separator.encode().decode("unicode_escape")
     try:
         if chosen.command == "console":

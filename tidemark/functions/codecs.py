@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,9 +107,42 @@ class FieldType:
         return value.cast("string")
 
     def literal(self, text: str) -> Column:
-        """A statement's literal, typed once by the column it is compared with."""
+        """A statement's literal, typed once by the column it is compared with; an error if it is no value of the type.
+
+        Text columns take any text.  A LONG may have a sign here, as columns of
+        other sources may hold negative numbers.
+        """
+        if not self._is_value(text):
+            raise QueryError(f"{text!r} is no {self}")
+        if self.name == "LONG" and text:
+            return F.lit(int(text)).cast(self.spark)
         return self.parse(F.lit(text)).cast(self.spark)
 
+    def _is_value(self, text: str) -> bool:
+        if text == "":
+            return True  # stands for the zero value
+        whole = re.fullmatch(r"-?[0-9]{1,40}", text)
+        match self.name:
+            case "BYTE" | "INT" | "LONG":
+                low, high = {"BYTE": (0, 255), "INT": (-(2**31), 2**31 - 1), "LONG": (-(2**63), 2**63 - 1)}[self.name]
+                return bool(whole) and low <= int(text) <= high
+            case "UUID":
+                return re.fullmatch(r"(?s)[0-9a-fA-F]{8}.[0-9a-fA-F]{4}.[0-9a-fA-F]{4}.[0-9a-fA-F]{4}.[0-9a-fA-F]{12}", text) is not None
+            case "IPV4":
+                return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text) is not None and all(int(part) < 256 for part in text.split("."))
+            case "TIME":
+                if text[4:5] != "-":
+                    return re.fullmatch(r"[0-9]{1,15}", text) is not None
+                try:
+                    return len(text) == 19 and datetime.strptime(text, "%Y-%m-%d %H:%M:%S") is not None
+                except ValueError:
+                    return False
+            case "BYTEARRAY":
+                return len(text.encode()) == self.size
+            case "PLAIN" if isinstance(self.plain, T.NumericType):
+                return re.fullmatch(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?", text) is not None
+        return True
+
     def escape(self, text: str) -> str:
         """The text of a value as it stands in a statement."""
         return f"'{text}'" if self.quoted else text

@@ -42,8 +42,8 @@ class KeyedFrame:
     placed: int = 0
     #: Keys that would fill a bucket of that table.
     hot: tuple = ()
-    #: Columns that the parts of ``__order`` stand for, where the rows are those of a table.
-    order_names: tuple[str, ...] = ()
+    #: The same rows with all columns of their table, where they come from one.
+    base: DataFrame | None = None
 
     @classmethod
     def table(cls, frame: DataFrame, fields: Iterable[Field] | None = None, placed: int = 0, hot: tuple = ()) -> "KeyedFrame":
@@ -53,7 +53,7 @@ class KeyedFrame:
             raise QueryError("Names that begin with two underscores are reserved")
         order = F.struct(*(f.type.sort_part(_quoted(f.name)).alias(f"o{i}") for i, f in enumerate(fields)))
         rows = frame.select(*(_quoted(f.name) for f in fields), _quoted(fields[0].name).alias(KEY), order.alias(ORDER))
-        return cls(rows, fields, fields[0].type, fields[0].name, tuple(f.type for f in fields), placed=placed, hot=hot, order_names=tuple(f.name for f in fields))
+        return cls(rows, fields, fields[0].type, fields[0].name, tuple(f.type for f in fields), placed=placed, hot=hot, base=frame.select(*(_quoted(f.name) for f in fields)))
 
     @property
     def names(self) -> list[str]:
@@ -78,7 +78,8 @@ class KeyedFrame:
         return replace(self, rows=self.rows.select(*(_quoted(f.name) for f in fields), KEY, ORDER), fields=fields, key_field=kept)
 
     def filter(self, condition: Column) -> "KeyedFrame":
-        return replace(self, rows=self.rows.where(condition), keys=None)
+        base = None if self.base is None else self.base.where(condition)  # which has every column the condition may name
+        return replace(self, rows=self.rows.where(condition), keys=None, base=base)
 
     def _keys(self) -> DataFrame:
         return self.rows.select(KEY).where(F.col(KEY).isNotNull()).distinct()
@@ -100,21 +101,28 @@ class KeyedFrame:
         shown = [f for f in self.fields if f.name != self.key_field]
         fields = (*self.fields, *(f for f in right.fields if f.name not in self.names))
         if shown:
-            payload = F.struct(*(_quoted(f.name) for f in shown))
-            first = self.rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.min(F.struct(self._order_of(shown), payload.alias("payload"))).alias("__first"))
-            rows = match_unique(right.rows, first.select(KEY, F.col("__first.payload").alias("__left")), KEY, "inner", placed, right.hot)
+            first = self._first(F.struct(*(_quoted(f.name) for f in shown)), [f.name for f in shown])
+            rows = match_unique(right.rows, first, KEY, "inner", placed, right.hot)
         else:
             rows = matched
         left = {f.name: _quoted(KEY) if f.name == self.key_field else F.col("__left")[f.name] for f in self.fields}
         columns = [left.get(f.name, _quoted(f.name)).alias(f.name) for f in fields]
         return KeyedFrame(rows.select(*columns, KEY, ORDER), fields, self.key_type, self.key_field, right.order_types, matched.select(KEY), right.placed if placed and not right.hot else 0)
 
-    def _order_of(self, shown: list[Field]) -> Column:
-        """``__order`` as far as it tells rows of unlike ``shown`` cells apart: columns of a table behind the last one shown are not read."""
-        if not self.order_names:
-            return F.col(ORDER)
-        last = max(self.order_names.index(f.name) for f in shown)
-        return F.struct(*(F.col(ORDER)[f"o{i}"].alias(f"o{i}") for i in range(last + 1))).alias(ORDER)
+    def _first(self, payload: Column, shown: list[str]) -> DataFrame:
+        """``__key, __left``: the payload of the first row of each key.
+
+        In rows of a table those that agree up to the last column shown have the
+        same payload, so columns behind it are not read.
+        """
+        if self.base is None:
+            rows, order = self.rows, F.col(ORDER)
+        else:
+            names, rows = self.base.columns, self.base.withColumn(KEY, _quoted(self.base.columns[0]))
+            last = max(names.index(name) for name in shown)
+            order = F.struct(*(kind.sort_part(_quoted(name)).alias(f"o{i}") for i, (kind, name) in enumerate(zip(self.order_types[: last + 1], names))))
+        first = rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.min(F.struct(order.alias("order"), payload.alias("payload"))).alias("first"))
+        return first.select(KEY, F.col("first.payload").alias("__left"))
 
     def _united(self, right: "KeyedFrame") -> tuple[Field, ...]:
         known = {f.name: f for f in self.fields}
@@ -143,7 +151,7 @@ class KeyedFrame:
         placed = 0 < self.placed == right.placed
         left_rows = match_unique(self.rows, right._keys(), KEY, "left_semi", placed, self.hot)
         right_rows = match_unique(right.rows, self._keys(), KEY, "left_semi", placed, right.hot)
-        return replace(self, rows=left_rows, keys=None).union(replace(right, rows=right_rows, keys=None))
+        return replace(self, rows=left_rows, keys=None, base=None).union(replace(right, rows=right_rows, keys=None, base=None))
 
     def output(self, ordered: bool = False, descending: bool = False) -> DataFrame:
         """The visible columns; ``ordered`` by key and scan order, or ``descending``."""

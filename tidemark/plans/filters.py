@@ -30,7 +30,7 @@ def condition_column(condition: ast.Condition, fields: Mapping[str, FieldType],
     if kind is None:
         raise QueryError(f"Unknown field {condition.field}")
     column = F.col(f"`{condition.field}`")
-    literals = [kind.literal(v) for v in condition.values]
+    literals = [kind.literal(v) for v in condition.values] if condition.op != "CONTAINS" else []
     match condition.op:
         case "=":
             found = column == literals[0]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import placement
 from tidemark.functions.codecs import FieldType
 from tidemark.plans.ast import TableRef
-from tidemark.plans.filters import predicate_column, where
+from tidemark.plans.filters import FilterBuilder, predicate_column, where
 from tidemark.plans.lower import Options
 from tidemark.session import Engine
 from tidemark.sources.shared import scratch
@@ -50,6 +50,7 @@ STATEMENTS = {
         "select at_id,url from t.views where timestamp > '2014-11-20 16:00:00'",
         "SELECT at_id, url FROM views WHERE \"timestamp\" > TIMESTAMPTZ '2014-11-20 16:00:00+00'",
     ),
+    "filter_negative": ("select c_custkey,c_acctbal from t.customer where c_acctbal > -250 and c_custkey > -7", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > -250 AND c_custkey > -7"),
     "filter_contains": ("select doc_id,lang from t.documents where text contains 'retry'", "SELECT doc_id, lang FROM documents WHERE contains(text, 'retry')"),
     "filter_in": ("select c_custkey,c_nationkey from t.customer where c_nationkey in (3, 7, 11)", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (3, 7, 11)"),
     "filter_not": (
@@ -164,6 +165,75 @@ def rows_ordered(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d).frame("select n_name,n_regionkey from t.nation").output(ordered=True)
 
 
+def _places(ordered: DataFrame) -> DataFrame:
+    """The rows of a small result with their places in it."""
+    return ordered.withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")))
+
+
+def rows_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Strings by length first: the key is a name here."""
+    made = engine(spark, d).register("t.named", table(spark, d, "nation").select("n_name", "n_nationkey"))
+    return _places(made.frame("select n_nationkey from t.named").output(ordered=True))
+
+
+def rows_descending(spark: SparkSession, d: str) -> DataFrame:
+    made = engine(spark, d).register("t.named", table(spark, d, "nation").select("n_name", "n_nationkey"))
+    return _places(made.frame("select n_name from t.named").output(descending=True))
+
+
+def filter_text(spark: SparkSession, d: str) -> DataFrame:
+    """A filter from its own text, and the columns it names."""
+    chain = FilterBuilder.from_text(str(where("p_size").greater_than(40).and_("p_name").not_().contains("a").or_("p_partkey").in_(1, 2, 3)))
+    frame = engine(spark, d).frame(f"select {','.join(chain.fields)} from t.part")
+    return frame.filter(predicate_column(chain.predicate, list(frame.fields))).output()
+
+
+def filter_escaped(spark: SparkSession, d: str) -> DataFrame:
+    name, size = FieldType("STRING").escape("green"), FieldType("INT").escape("7")
+    return engine(spark, d).df(f"select p_partkey from t.part where p_name contains {name} or p_size = {size}")
+
+
+def join_across_keyspaces(spark: SparkSession, d: str) -> DataFrame:
+    """Stored tables of two keyspaces with as many buckets, joined by key."""
+    made, space, _ = _stored(spark, d)
+    made.sql(f"create table {space}.people c_custkey(LONG),c_name(STRING)")
+    made.sql(f"create table {space}far.orders o_custkey(LONG),o_orderkey(LONG)")
+    made.sql(f"select c_custkey,c_name from t.customer where c_mktsegment='BUILDING' into {space}.people")
+    made.sql(f"select o_custkey,o_orderkey from t.orders into {space}far.orders")
+    return made.df(f"select c_name from {space}.people join select o_orderkey from {space}far.orders")
+
+
+def codec_int_long(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with a sign, with a letter behind, too large, empty."""
+    key = F.col("l_orderkey").cast("string")
+    kinds = [F.concat(F.lit("-"), key), F.concat(key, F.lit("x")), F.concat(key, F.lit("00000000")), F.lit("")]
+    text = F.coalesce(*(F.when(F.col("l_linenumber") == i + 1, k) for i, k in enumerate(kinds)), key)
+    return table(spark, d, "lineitem").select(text.alias("text"), FieldType("INT").parse(text).alias("as_int"), FieldType("LONG").parse(text).alias("as_long"))
+
+
+def codec_string_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Text as it is, and as bytes where it is of that length."""
+    kind = FieldType("BYTEARRAY", 6)
+    return table(spark, d, "nation").select("n_name", FieldType("STRING").parse(F.when(F.col("n_regionkey") > 0, F.col("n_name"))).alias("as_text"), kind.render(kind.parse(F.col("n_name"))).alias("as_bytes"))
+
+
+def placements(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions of keys of the other types."""
+    orders, large = table(spark, d, "orders"), (F.col("o_orderkey") - 5000) * F.lit(1_000_003)
+    parts = {
+        "by_int": ("INT", -F.col("o_custkey").cast("int")),
+        "by_long": ("LONG", large),
+        "by_time": ("TIME", F.timestamp_millis(F.col("o_orderkey") * F.lit(86_400_123))),
+        "by_bool": ("BOOL", F.col("o_totalprice") > 100_000),
+        "by_bytes": ("BYTEARRAY", F.encode("o_orderpriority", "UTF-8")),
+    }
+    return orders.select("o_orderkey", *(placement.partition(FieldType(kind), value, 5).alias(name) for name, (kind, value) in parts.items()))
+
+
+def _counted(spark: SparkSession, *counts: int) -> DataFrame:
+    return spark.createDataFrame([tuple(counts)], ", ".join(f"n_{i} long" for i in range(len(counts))))
+
+
 def codec_uuid(spark: SparkSession, d: str) -> DataFrame:
     kind = FieldType("UUID")
     return table(spark, d, "flags").select("user_uid", kind.render(kind.parse(F.col("user_uid"))).alias("rendered"))
@@ -214,6 +284,27 @@ def select_into(spark: SparkSession, d: str) -> DataFrame:
     return made.df(f"select * from {space}.pages")
 
 
+def into_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What INTO returns, twice, and then the table's own count."""
+    made, space, _ = _stored(spark, d)
+    made.sql(f"create mem table {space}.pages user_id(STRING),url(STRING)")
+    into = f"select vdna_user_id from t.syncs join select url from t.views into {space}.pages"
+    return _counted(spark, made.sql(into).count, made.sql(into).count, made.sql(f"count {space}.pages").count)
+
+
+def table_life(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table after loading, in another engine, after DELETE; and whether DROP leaves it."""
+    made, space, _ = _stored(spark, d)
+    made.sql(f"create table {space}.names id(LONG),name(STRING)")
+    made.sql(f"select c_custkey,c_name from t.customer into {space}.names")
+    again = Engine(spark)
+    counts = [made.sql(f"count {space}.names").count, again.sql(f"count {space}.names where id > -1").count]
+    again.sql(f"delete {space}.names")
+    counts.append(made.sql(f"count {space}.names").count)
+    made.sql(f"drop {space}.names")
+    return _counted(spark, *counts, int(again.catalog.exists(TableRef(space, "names"))))
+
+
 PARTS = "p_partkey(BYTE),p_size(INT),p_name(STRING)"
 
 
@@ -231,6 +322,22 @@ def load_text(spark: SparkSession, d: str) -> DataFrame:
     return made.df(f"select p_partkey,p_size,p_name from {space}.parts").withColumn("p_partkey", F.col("p_partkey").cast("int"))
 
 
+def load_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a load returns, and its rejects."""
+    made, space, folder = _exported(spark, d)
+    count, rejects = made.load(f"{space}.parts", f"{folder}/text")
+    return _counted(spark, count, rejects.count())
+
+
+def load_values_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Text with a value to a line, every three lines a record."""
+    made, space, folder = _stored(spark, d)
+    made.sql("select c_custkey,c_name,c_nationkey from t.customer").export(f"{folder}/values", separator="\n")
+    made.sql(f"create table {space}.people c_custkey(LONG),c_name(STRING),c_nationkey(INT)")
+    made.load(f"{space}.people", f"{folder}/values", separator="\n")
+    return made.df(f"select * from {space}.people")
+
+
 def load_rejects(spark: SparkSession, d: str) -> DataFrame:
     made, space, folder = _exported(spark, d)
     _, rejects = made.load(f"{space}.parts", f"{folder}/text")
@@ -261,12 +368,12 @@ def stats_and_description(spark: SparkSession, d: str) -> DataFrame:
     before = stats()
     made.catalog.compact(TableRef(space, "parts"))
     after = stats()
-    schema = next(x for x in made.sql(f"describe {space}.parts").info if x.startswith("schema"))
-    said = [(schema, before[0] > after[0] > 0, after[1] > 0, 0 <= after[2] < 8, made.sql(f"count {space}.parts").count)]
+    schema = next(x for x in made.sql(f"describe {space}.parts").info if x.startswith("columns"))
+    said = [(schema, before[0] > after[0] > 0, after[1] > 0, 0 <= after[2] < made.catalog.buckets, made.sql(f"count {space}.parts").count)]
     return spark.createDataFrame(said, "described string, compacted boolean, has_size boolean, has_region boolean, n long")
 
 
-_EXTRA = (select_into, load_text, load_rejects, stream_ingest, load_other_table, stats_and_description, filter_builder, filter_sql_precedence, rows_as_text, rows_grouped_by_key, rows_ordered, codec_uuid, codec_ipv4, codec_time, codec_bool_byte, partition_uuid, partition_string)
+_EXTRA = (rows_in_order, rows_descending, filter_text, filter_escaped, join_across_keyspaces, codec_int_long, codec_string_bytes, placements, into_counts, table_life, load_counts, load_values_of_lines, select_into, load_text, load_rejects, stream_ingest, load_other_table, stats_and_description, filter_builder, filter_sql_precedence, rows_as_text, rows_grouped_by_key, rows_ordered, codec_uuid, codec_ipv4, codec_time, codec_bool_byte, partition_uuid, partition_string)
 QUERIES = {name: _statement(text) for name, (text, _) in STATEMENTS.items()} | {f.__name__: f for f in _EXTRA}
 
 _CANONICAL = "lower(" + " || '-' || ".join(f"substr(user_uid, {a}, {n})" for a, n in ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12))) + ")"
@@ -275,14 +382,38 @@ _PARSED = f"CASE WHEN coalesce(user_uid, '') = '' THEN '00000000-0000-0000-0000-
 _WORDS = [f"CAST('0x' || substr(replace(u, '-', ''), {1 + 8 * i}, 8) AS BIGINT)" for i in range(4)]
 _MIXED = f"xor(xor({_WORDS[0]}, {_WORDS[1]}), xor({_WORDS[2]}, {_WORDS[3]}))"
 
+#: 16-bit reflected checksum of ASCII text, eight shifts for each byte.
+_CHECKSUM = """list_reduce(list_prepend(65535, list_transform(string_split(n_name, ''), lambda c: ascii(c))),
+lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 40961)))"""
+_NUMBER = "CASE l_linenumber WHEN 1 THEN '-' || l_orderkey WHEN 2 THEN l_orderkey || 'x' WHEN 3 THEN l_orderkey || '00000000' WHEN 4 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END"
+_PAGES = "SELECT count(*) AS n FROM views WHERE at_id IN (SELECT at_id FROM syncs WHERE at_id IS NOT NULL)"
+_LOW = "CASE WHEN ({v} & 4294967295) >= 2147483648 THEN ({v} & 4294967295) - 4294967296 ELSE {v} & 4294967295 END"
+_MOD = "CAST((({v}) % 5 + 5) % 5 AS INTEGER)"
+
 SQL = {name: sql for name, (_, sql) in STATEMENTS.items()} | {
+    "rows_in_order": "SELECT n_nationkey, row_number() OVER (ORDER BY strlen(n_name), n_name) AS place FROM nation",
+    "rows_descending": "SELECT n_name, row_number() OVER (ORDER BY strlen(n_name) DESC, n_name DESC) AS place FROM nation",
+    "filter_text": "SELECT p_size, p_name, p_partkey FROM part WHERE p_size > 40 AND (NOT contains(p_name, 'a') OR p_partkey IN (1, 2, 3))",
+    "filter_escaped": "SELECT p_partkey FROM part WHERE contains(p_name, 'green') OR p_size = 7",
+    "join_across_keyspaces": "SELECT c_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'",
+    "codec_int_long": f"""SELECT text, CASE WHEN text = '' THEN 0 WHEN regexp_matches(text, '^-?[0-9]+$') THEN TRY_CAST(text AS INTEGER) END AS as_int,
+CASE WHEN text = '' THEN 0 WHEN regexp_matches(text, '^[0-9]+$') THEN TRY_CAST(text AS BIGINT) END AS as_long FROM (SELECT {_NUMBER} AS text FROM lineitem)""",
+    "codec_string_bytes": "SELECT n_name, CASE WHEN n_regionkey > 0 THEN n_name ELSE '' END AS as_text, CASE WHEN strlen(n_name) = 6 THEN n_name END AS as_bytes FROM nation",
+    "placements": f"""SELECT o_orderkey, CAST(o_custkey % 5 AS INTEGER) AS by_int, {_MOD.format(v=_LOW.format(v="((o_orderkey - 5000) * 1000003)"))} AS by_long,
+{_MOD.format(v=_LOW.format(v="(o_orderkey * 86400123)"))} AS by_time, CAST(o_totalprice > 100000 AS INTEGER) AS by_bool,
+CAST(list_reduce(list_prepend(0, list_transform(string_split(o_orderpriority, ''), lambda c: ascii(c))), lambda s, b: xor(s, b)) % 5 AS INTEGER) AS by_bytes FROM orders""",
+    "partition_string": f"SELECT n_name, CAST({_CHECKSUM} AS BIGINT) AS checksum, CAST(abs({_CHECKSUM}) % 4 AS INTEGER) AS region FROM nation",
+    "into_counts": f"SELECT n AS n_0, n AS n_1, 2 * n AS n_2 FROM ({_PAGES})",
+    "table_life": "SELECT count(*) AS n_0, count(*) AS n_1, 0 AS n_2, 0 AS n_3 FROM customer",
+    "load_counts": "SELECT count_if(p_partkey <= 255) AS n_0, count_if(p_partkey > 255) AS n_1 FROM part",
+    "load_values_of_lines": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "select_into": """SELECT coalesce(vdna_user_id, '') AS user_id, coalesce(url, '') AS url FROM views v JOIN (SELECT *, row_number() OVER (PARTITION BY at_id
 ORDER BY strlen(vdna_user_id) NULLS FIRST, vdna_user_id NULLS FIRST, "timestamp" NULLS FIRST) AS place FROM syncs) s ON s.at_id = v.at_id AND place = 1""",
     "load_text": "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_size, p_name FROM part WHERE p_partkey <= 255",
     "load_rejects": "SELECT 'p_partkey' AS fault, count(*) AS n FROM part WHERE p_partkey > 255 HAVING count(*) > 0",
     "stream_ingest": 'SELECT count(*) AS "count" FROM part WHERE p_partkey <= 255',
     "load_other_table": "SELECT c_custkey AS id, upper(c_name) AS name, c_nationkey AS nation FROM customer WHERE c_nationkey < 10 AND c_acctbal > 0",
-    "stats_and_description": f"SELECT 'schema: {PARTS}' AS described, true AS compacted, true AS has_size, true AS has_region, 2 * count(*) AS n FROM part WHERE p_partkey <= 255",
+    "stats_and_description": f"SELECT 'columns {PARTS}' AS described, true AS compacted, true AS has_size, true AS has_region, 2 * count(*) AS n FROM part WHERE p_partkey <= 255",
     "filter_builder": "SELECT p_partkey, p_size, p_name FROM part WHERE p_size > 40 AND (contains(p_name, 'a') OR p_partkey IN (1, 2, 3))",
     "filter_sql_precedence": "SELECT p_partkey FROM part WHERE (p_size < 20 AND p_size > 10) OR p_partkey < 50",
     "rows_as_text": "SELECT n_nationkey || '|' || n_name AS line FROM nation",

@@ -21,16 +21,14 @@ from tidemark.shipping import ship
 from tidemark.sources.ingest import Loaded, read_stdin, read_table, read_text
 
 HELP = (
-    "CREATE [MEM] TABLE <keyspace>.<table> <field>(<TYPE>),...",
-    "DESCRIBE [<keyspace>[.<table>]]",
-    "STATS [<keyspace>]",
-    "CLUSTER [DOWN | numNodes <buckets of new tables>]",
-    "COUNT {<keyspace>.<table>|(SELECT ..)} [WHERE <condition>]",
-    "SELECT <fields> FROM {<keyspace>.<table>|(SELECT ..)} [WHERE <condition>] [JOIN|UNION|INTERSECTION SELECT ..]",
-    "SELECT ... INTO <keyspace>.<table>",
-    "DROP <keyspace>.<table>",
-    "DELETE <keyspace>.<table>",
-    "HELP, CLOSE",
+    "Reading:   select k.a,b,* from ks.t where a = 'x' and b not in (1, 2)",
+    "           a source may be a statement in parentheses; frames combine by join, union, intersection",
+    "Counting:  count ks.t where ...    count (select ...)",
+    "Storing:   select ... into ks.t    create [mem] table ks.t key(UUID),n(INT),text",
+    "Removing:  delete ks.t empties a table, drop ks.t removes it",
+    "Looking:   describe, describe ks, describe ks.t, stats, stats ks, cluster",
+    "Setting:   cluster numNodes 64 gives new tables 64 buckets",
+    "Leaving:   close, or cluster down",
 )
 
 
@@ -87,7 +85,7 @@ class Result:
 class Engine:
     """``sql`` runs statements over keyspaces of the session catalog and registered frames."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 8, options: Options = Options(), location: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, buckets: int | None = None, options: Options = Options(), location: str | None = None) -> None:
         ship(spark)
         self.spark, self.options = spark, options
         self.catalog = Catalog(spark, buckets, location)
@@ -173,7 +171,7 @@ class Engine:
             case "DESCRIBE", ():
                 return Result("info", info=self.cluster_info())
             case "DESCRIBE", (keyspace,):
-                return Result("info", info=(f"keyspace: {keyspace}", f"tables: {', '.join(self.catalog.tables(keyspace))}"))
+                return Result("info", info=(f"{keyspace} has {', '.join(self.catalog.tables(keyspace)) or 'no tables'}",))
             case "DESCRIBE", (keyspace, table):
                 ref = ast.TableRef(keyspace, table)
                 if not self.catalog.exists(ref):
@@ -192,17 +190,17 @@ class Engine:
                 self.catalog.drop(ast.TableRef(keyspace, table))
                 return Result("info", info=(f"Dropped {keyspace}.{table}",))
             case "DELETE", (keyspace, table):
-                self.spark.sql(f"TRUNCATE TABLE `{keyspace}`.`{table}`")
+                self.catalog.empty(ast.TableRef(keyspace, table))
                 return Result("info", info=(f"Emptied {keyspace}.{table}",))
         raise QueryError(f"Invalid query: {node.name} {' '.join(node.arguments)}")
 
     def cluster_info(self) -> tuple[str, ...]:
         context = self.spark.sparkContext
         return (
-            f"cluster id={context.applicationId}",
-            f"cluster numNodes={self.catalog.buckets}",
-            f"cluster available cores={context.defaultParallelism}",
-            f"cluster defined keyspaces: {', '.join(self.catalog.keyspaces())}",
+            f"Spark {context.version} at {context.master}, application {context.applicationId}",
+            f"{context.defaultParallelism} tasks at once",
+            f"{self.catalog.buckets} buckets for new tables",
+            f"keyspaces {', '.join(self.catalog.keyspaces()) or 'none'}",
         )
 
     def load(self, table: str, path: str | list[str] | None, separator: str = "\t", layout: str | None = None, gzip: bool = False) -> tuple[int, DataFrame]:
@@ -227,6 +225,26 @@ def _table(name: str) -> ast.TableRef:
     return ast.TableRef(keyspace, table)
 
 
+def cluster_session(master: str, shared: str, warehouse: str | None = None, app: str = "tidemark", settings: dict[str, str] | None = None) -> SparkSession:
+    """A session on a cluster; ``shared`` is a folder that all executors see, where costly results are written.
+
+    Further ``settings`` win over the ones given here.  Shuffle files are kept
+    through the loss of executors where the cluster has a service for it.
+    """
+    builder = SparkSession.builder.master(master).appName(app)
+    given = {
+        "spark.checkpoint.dir": shared,
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        **({"spark.sql.warehouse.dir": warehouse} if warehouse else {}),
+        **(settings or {}),
+    }
+    for name, value in given.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
+
+
 def local_session(cores: str = "*", warehouse: str | None = None, app: str = "tidemark") -> SparkSession:
     """A local session with the settings that results rely on.
 

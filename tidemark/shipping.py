@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    folder = Path(tempfile.mkdtemp(prefix="tidemark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = folder / "tidemark.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(package.rglob("*.py")):
             archive.write(source, source.relative_to(package.parent))

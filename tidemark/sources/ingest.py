@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codecs import Field
+from tidemark.sources.shared import discard, scratch
 
 
 @dataclass(frozen=True)
@@ -88,12 +88,16 @@ def read_text(spark: SparkSession, path: str | list[str], fields: list[Field], s
 
 
 def read_stdin(spark: SparkSession, fields: list[Field], separator: str = "\t", layout: str = "lines", gzip: bool = False) -> Loaded:
-    """Standard input by way of a file, as the executors cannot read it; for local use."""
-    spool = tempfile.NamedTemporaryFile("wb", prefix="tidemark-stdin-", suffix=".gz" if gzip else ".txt", delete=False)
-    with spool:
+    """Standard input by way of a file in the shared folder, as the executors cannot read it; the file goes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "stdin") + (".gz" if gzip else ".txt"))
+    spool = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
         while chunk := sys.stdin.buffer.read(1 << 20):
-            spool.write(chunk)
-    return read_text(spark, "file://" + spool.name, fields, separator, layout)
+            spool.write(bytearray(chunk))
+    finally:
+        spool.close()
+    discard(spark, path.toString())
+    return read_text(spark, path.toString(), fields, separator, layout)
 
 
 def read_table(source: DataFrame, fields: list[Field], mapping: Mapping[str, str], partition_filter: str | None = None, row_filter: str | None = None) -> Loaded:

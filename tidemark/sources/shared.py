@@ -26,10 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    discard(spark, path)
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Has ``path`` removed when the application ends."""
+    _written.append((spark, path))
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written once and read back.
 

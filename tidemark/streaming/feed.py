@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.catalog import Catalog
+from tidemark.catalog import FED, Catalog
 from tidemark.functions.codecs import Field
 from tidemark.plans.ast import TableRef
 from tidemark.sources.ingest import line_records, typed
@@ -28,17 +31,34 @@ def json_lines(lines: DataFrame, fields: list[Field], paths: dict[str, str]) ->
     return lines.select(F.array(*cells).alias("values"))
 
 
-def feed(catalog: Catalog, table: TableRef, lines: DataFrame, checkpoint: str, separator: str = "\t", json_paths: dict[str, str] | None = None, available_now: bool = False) -> StreamingQuery:
-    """Appends a stream of lines to a table, batch by batch; rejects are dropped.
+def rejects_folder(checkpoint: str) -> str:
+    return checkpoint.rstrip("/") + "-rejects"
 
-    The checkpoint makes the input exactly-once; a batch that fails half way is
-    written again, as with any append through ``foreachBatch``.
-    """
+
+def batch_writer(catalog: Catalog, table: TableRef, checkpoint: str, separator: str = "\t", json_paths: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Writes a batch of lines once, whatever how often it comes."""
     fields = catalog.fields(table)
+    mark = f"{FED}.{hashlib.blake2b(checkpoint.encode(), digest_size=8).hexdigest()}"
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        if number <= int(catalog.properties(table).get(mark, -1)):
+            return
         records = line_records(batch, separator) if json_paths is None else json_lines(batch, fields, json_paths)
-        catalog.append(table, typed(records, fields).rows)
+        loaded = typed(records, fields)
+        loaded.rejects.write.mode("overwrite").parquet(f"{rejects_folder(checkpoint)}/batch={number}")
+        catalog.append(table, loaded.rows)
+        catalog.set_property(table, mark, str(number))
+
+    return write
 
-    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def feed(catalog: Catalog, table: TableRef, lines: DataFrame, checkpoint: str, separator: str = "\t", json_paths: dict[str, str] | None = None, available_now: bool = False) -> StreamingQuery:
+    """Appends a stream of lines to a table, batch by batch; rejects go to a folder beside the checkpoint.
+
+    The last batch written is noted at the table, by checkpoint, and a batch that
+    comes again is not written again.  A batch that failed half way left nothing,
+    as files are committed together; only a failure between that and the note
+    would repeat a batch.  Rejects of a batch replace those of its first try.
+    """
+    writer = lines.writeStream.foreachBatch(batch_writer(catalog, table, checkpoint, separator, json_paths)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
