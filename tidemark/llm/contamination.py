@@ -227,6 +227,8 @@ class ItemIndex:
         seeds = rolling(hashed, self.least)
         hit = np.flatnonzero(self.filter[seeds & np.uint64((1 << 20) - 1)])
         hit = hit[owner[hit] == owner[hit + self.least - 1]]
+        if len(self.seed):  # the filter lets some through that are no seeds
+            hit = hit[self.seed[np.minimum(np.searchsorted(self.seed, seeds[hit]), len(self.seed) - 1)] == seeds[hit]]
         first_word = np.searchsorted(owner, np.arange(len(offsets) + 1))
         raw = data.tobytes()
         for t in np.unique(owner[hit]):
